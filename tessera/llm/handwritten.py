@@ -4,7 +4,8 @@ Three linear support-vector classifiers look at a file: at its body (hashed char
 that giveaway headers are not what it learns), at its head comment (hashed character n-grams), and at its path (path
 components and their n-grams). They are fitted on a bounded sample of rows labelled by what is already known - the older
 scanner's ``skipped_reason``, plain giveaways in head comments and well-known path parts - and each view's threshold is set on repositories that
-its fit never saw. A second fit takes over what the first one found, so that the labels' gaps count less as negatives.
+its fit never saw. A first, crossed fit corrects the labels: what it finds is taken over,
+and a reason alone that it contradicts is dropped.
 
 A copy of third-party code that was put among a repository's own files, perhaps patched and without its header, looks like
 any other code. It is found by its line runs: winnowed fingerprints of files that the head or path view reports, matched with
@@ -24,19 +25,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import scratch
 
 #: Words of head comments that say a file was not written by hand, and path parts that hold such files by convention.
 GIVEAWAYS = r"generated|do not edit|regenerate|automatically produced|vendored|copied from|upstream|minified"
-PATH_PARTS = r"(^|/)(node_modules|bower_components|_?vendor(ed)?|_vendored|third_?party|3rd_?party|external|extern|deps|_?generated)/|\.min\.|\.bundle\.|\.gen\.|_pb2\."
+PATH_PARTS = r"(^|/)(node_modules|bower_components|_?vendor(ed)?|_vendored|third_?party|3rd_?party|external|extern|deps|static/libs|_?generated)/|\.min\.|\.bundle\.|\.gen\.|_pb2\."
 #: Reasons for skipping that say nothing about who wrote a file.
 PLAIN_REASONS = r"^\s*(unsupported extension|file too large)"
 
 WIDTH = 1 << 16
 _HEAD = re.compile(r"﻿?(?:[ \t]*(?:(?:#|//|<!--|--)[^\n]*|/\*.*?\*/|\"\"\"[^\n]*?\"\"\"|'''[^\n]*?''')?[ \t]*(?:\n|\Z))*", re.S)
+_GIVEAWAY = re.compile(GIVEAWAYS, re.I)
+_PATH_PART = re.compile(PATH_PARTS, re.I)
+_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b[0-9][0-9a-fA-FxX_.eE+-]*|\b(?:true|false|null|None|True|False)\b|[\s\[\]{}(),:;]+")
 _NUMBER = re.compile(r"[0-9]+")
 _VERSION = re.compile(r"-\d+(\.\d+)+")
 
@@ -82,11 +86,6 @@ def path_features(path: str) -> np.ndarray:
 VIEWS = ("body", "head", "path")
 
 
-def features(path: str, text: str) -> dict[str, np.ndarray]:
-    head, body = split_head(text)
-    return {"body": body_features(body), "head": head_features(head), "path": path_features(path)}
-
-
 @dataclass
 class Linear:
     weights: np.ndarray
@@ -97,7 +96,7 @@ class Linear:
         return float(self.weights[idx].sum() / np.sqrt(len(idx)) + self.bias) if len(idx) else float("-inf")
 
 
-def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ridge: float = 1e-4, epochs: int = 6, seed: int = 0) -> Linear:
+def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ridge: float = 1e-4, epochs: int = 4, seed: int = 0) -> Linear:
     """A linear support-vector classifier by averaged stochastic subgradients of the hinge loss; both classes weigh the same."""
     rng = np.random.default_rng(seed)
     w, total, b, b_total, t, scale = np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0, 0, 1.0
@@ -122,56 +121,72 @@ def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ridge: float = 1e-4,
     return Linear(total / kept, b_total / kept)
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray, precision: float, least: float) -> float:
-    """The lowest score from which on at least ``precision`` of the rows are labelled positive; infinite if there is none."""
-    order = np.argsort(-scores)
-    hits = np.cumsum(labels[order] > 0) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero((hits >= precision) & (np.arange(1, len(order) + 1) >= 3))
-    return max(least, float(scores[order[good[-1]]])) if len(good) else float("inf")
+def _threshold(scores: np.ndarray, low: float = 0.1, high: float = 1.0, width: float = 0.15) -> float:
+    """Where, between the margins, the fewest held-out scores lie near: the valley between both kinds, the middle of it if it is wide."""
+    at = np.round(np.arange(low, high + 1e-9, 0.02), 2)
+    near = np.array([(np.abs(scores - t) < width).sum() for t in at])
+    best = np.flatnonzero(near == near.min())
+    return float(at[best[len(best) // 2]])
+
+
+def is_data(body: str, share: float = 0.8, least: int = 5) -> bool:
+    """Whether nearly all lines, or nearly all characters, are literals without any code between them."""
+    lines = [x for x in body.split("\n") if x.strip()]
+    if len(lines) >= least:
+        return sum(sum(len(m[0]) for m in _LITERAL.finditer(x)) >= len(x.rstrip()) - 1 for x in lines) >= share * len(lines)
+    return len(body) > 200 and sum(len(m[0]) for m in _LITERAL.finditer(body)) >= share * len(body)
 
 
 def labelled(files: DataFrame, results: DataFrame) -> DataFrame:
-    """Files with text, with ``known``: whether anything already says that the file is not written by hand."""
+    """Files with text, with ``reason``: whether the older scanner skipped the file as not written by hand."""
     reasons = (
         results.where(F.col("skipped_reason").isNotNull() & (F.trim("skipped_reason") != "") & ~F.lower("skipped_reason").rlike(PLAIN_REASONS))
         .select(F.col("file_id").alias("r_id")).distinct()
     )
-    start = F.lower(F.substring("text", 1, 400))
     return (
         files.where("text is not null").select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("path", F.lit("")).alias("path"), "text")
-        .join(reasons, F.col("file_id") == F.col("r_id"), "left")
-        .withColumn("known", F.col("r_id").isNotNull() | F.regexp_extract(start, r"^((?:\s*(?:#|//|/\*|\*|\"\"\"|''')[^\n]*\n)*)", 1).rlike(GIVEAWAYS) | F.lower("path").rlike(PATH_PARTS)).drop("r_id")
+        .join(reasons, F.col("file_id") == F.col("r_id"), "left").withColumn("reason", F.col("r_id").isNotNull()).drop("r_id")
     )
 
 
-def fit_views(rows: DataFrame, sample: int = 6_000, precision: float = 0.85, rounds: int = 2, held_out: int = 5) -> dict[str, Linear]:
-    """Fits the views on at most ``sample`` labelled rows, half of each label, drawn by a hash of the id.
+def fit_views(rows: DataFrame, sample: int = 12_000, held_out: int = 5) -> dict[str, Linear]:
+    """Fits the views on about ``sample`` rows, drawn by a hash of the id; that bound is a parameter. One task fits each view.
 
-    The sample's bound is this parameter; one task fits each view. Repositories whose hash falls in one of ``held_out`` parts are
-    kept for the thresholds.
+    Repositories whose hash falls in one of ``held_out`` parts are kept for the thresholds, which are set in the valley of the kept
+    rows' scores: labels are incomplete, so that they cannot measure precision.
     """
-    draw = rows.select("repo", "path", "text", "known", F.xxhash64("file_id").alias("h"))
-    half = sample // 2
-    drawn = draw.where("known").orderBy("h").limit(half).unionByName(draw.where("not known").orderBy("h").limit(half)).select("repo", "path", "text", "known")
-    views = rows.sparkSession.createDataFrame([(v,) for v in VIEWS], "view string")
+    share = sample / max(1, rows.count())
+    drawn = rows.where(F.pmod(F.xxhash64("file_id"), F.lit(1_000_003)) < share * 1_000_003).select("repo", "path", "text", "reason") if share < 1 else rows.select("repo", "path", "text", "reason")
+    views = F.explode(F.array(*[F.lit(v) for v in VIEWS])).alias("view")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         view = rows["view"].iloc[0]
-        x = [features(p, t)[view] for p, t in zip(rows["path"], rows["text"])]
-        y = np.where(rows["known"], 1, -1)
+        rows = rows.sort_values(["repo", "path"])
+        parts = [split_head(t) for t in rows["text"]]
+        plain = np.array([bool(_GIVEAWAY.search(h)) or bool(_PATH_PART.search(p)) for (h, _), p in zip(parts, rows["path"])], bool)
+        if view == "body":
+            plain |= np.array([is_data(body) for _, body in parts], bool)
+            x = [body_features(body) for _, body in parts]
+        else:
+            x = [head_features(h) for h, _ in parts] if view == "head" else [path_features(p) for p in rows["path"]]
+        y = np.where(plain | rows["reason"].to_numpy(bool), 1, -1)
         apart = np.array([zlib.crc32(r.lower().encode()) % held_out == 0 for r in rows["repo"]])
         if not (y[~apart] > 0).any() or not (y[~apart] < 0).any() or not apart.any():
             return pd.DataFrame({"view": [view], "weights": [np.zeros(WIDTH, np.float32).tobytes()], "bias": [0.0], "threshold": [float("inf")]})
+        half = np.array([zlib.crc32(r.lower().encode()) // held_out % 2 for r in rows["repo"]])
+        crossed = np.zeros(len(x))
+        for side in (0, 1):  # each half of the repositories is judged by a model of the other half
+            model = fit_linear([x[i] for i in np.flatnonzero(half != side)], y[half != side])
+            for i in np.flatnonzero(half == side):
+                crossed[i] = model.score(x[i])
+        valley = _threshold(crossed)
+        labels = np.where(plain | (crossed >= valley), 1, -1)  # a reason alone may be wrong, and what is not told may be found
         keep = np.flatnonzero(~apart)
-        labels = y.copy()
-        for turn in range(rounds):
-            model = fit_linear([x[i] for i in keep], labels[keep])
-            scores = np.array([model.score(i) for i in x])
-            threshold = _threshold(scores[apart], labels[apart], precision, 0.0)
-            labels = np.where((y > 0) | (scores >= max(threshold, 0.5)), 1, -1)
+        model = fit_linear([x[i] for i in keep], labels[keep])
+        threshold = _threshold(np.array([model.score(x[i]) for i in np.flatnonzero(apart)]))
         return pd.DataFrame({"view": [view], "weights": [model.weights.astype(np.float32).tobytes()], "bias": [model.bias], "threshold": [threshold]})
 
-    fitted = drawn.crossJoin(F.broadcast(views)).groupBy("view").applyInPandas(fit, "view string, weights binary, bias double, threshold double").collect()
+    fitted = drawn.select("*", views).groupBy("view").applyInPandas(fit, "view string, weights binary, bias double, threshold double").collect()
     return {r.view: Linear(np.frombuffer(r.weights, np.float32), r.bias, r.threshold) for r in fitted}
 
 
@@ -190,7 +205,7 @@ def fingerprints(body: str, run: int = 5, window: int = 4) -> list[int]:
     return list({min(runs[i : i + window]) for i in range(max(1, len(runs) - window + 1))})
 
 
-def judged_files(files: DataFrame, results: DataFrame, sample: int = 6_000, copied: float = 0.5) -> DataFrame:
+def judged_files(files: DataFrame, results: DataFrame, sample: int = 12_000, copied: float = 0.5) -> DataFrame:
     """``file_id, body, head, path, copy, found``: how far each view's score lies above its threshold, the share of a file's line runs
     that stand in third-party files, and whether the file was not written by hand for its repository.
 
@@ -221,7 +236,7 @@ def judged_files(files: DataFrame, results: DataFrame, sample: int = 6_000, copi
     scored = spark.read.parquet(path)
     foreign = scored.where("head >= 0 or path >= 0").select(F.explode("prints").alias("p")).distinct()
     shares = (
-        scored.where("head < 0 and path < 0 and body < 0 and size(prints) > 0").select("file_id", F.explode("prints").alias("p"))
+        scored.where("not (head >= 0 or path >= 0 or body >= 0) and size(prints) > 0").select("file_id", F.explode("prints").alias("p"))
         .join(foreign.withColumn("hit", F.lit(1)), "p", "left").groupBy("file_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("copy"))
     )
     return (
@@ -233,3 +248,18 @@ def judged_files(files: DataFrame, results: DataFrame, sample: int = 6_000, copi
 def not_handwritten(files: DataFrame, results: DataFrame) -> DataFrame:
     """``file_id`` of the files that nobody wrote by hand for their repository."""
     return judged_files(files, results).where("found").select("file_id")
+
+
+def plain_path(path: Column) -> Column:
+    """A path without ``./``, doubled or leading slashes, and with forward slashes."""
+    x = F.regexp_replace(F.regexp_replace(F.trim(path), r"\\\\", "/"), r"/+", "/")
+    return F.regexp_replace(x, r"^(\./|/)+", "")
+
+
+def handwritten_findings(findings: DataFrame, files: DataFrame, results: DataFrame) -> DataFrame:
+    """The findings that stand in files not reported by ``not_handwritten``; repeated rows stay, findings in unknown files too."""
+    reported = (
+        not_handwritten(files, results).join(files.select("file_id", "repo", "path"), "file_id")
+        .select(F.lower(F.trim("repo")).alias("r_repo"), plain_path(F.col("path")).alias("r_path")).distinct()
+    )
+    return findings.join(reported, (F.lower(F.trim("repo_name")) == F.col("r_repo")) & (plain_path(F.col("file")) == F.col("r_path")), "left_anti")

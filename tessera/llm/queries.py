@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.consensus import consensus
+from tessera.llm.handwritten import handwritten_findings, not_handwritten
 from tessera.llm.leakage import leaked_items
 from tessera.llm.stuffing import stuffed_documents
 from tessera.session import ship
@@ -25,6 +26,16 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return shipped
 
 
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(table(spark, d, "source_files"), table(spark, d, "file_results"))
+
+
+@query
+def p1_findings(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten_findings(table(spark, d, "findings"), table(spark, d, "source_files"), table(spark, d, "file_results"))
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus(table(spark, d, "votes")).items.select("url", "classification")
