@@ -4,8 +4,8 @@ Three linear support-vector classifiers look at a file: at its body (hashed char
 that giveaway headers are not what it learns), at its head comment (hashed character n-grams), and at its path (path
 components and their n-grams). They are fitted on a bounded sample of rows labelled by what is already known - the older
 scanner's ``skipped_reason``, plain giveaways in head comments and well-known path parts - and each view's threshold is set on repositories that
-its fit never saw. A first, crossed fit corrects the labels: what it finds is taken over,
-and a reason alone that it contradicts is dropped.
+its fit never saw. A second fit takes over what the first one found, so that the labels' gaps count less as negatives. Reasons, which may be
+wrong, label bodies only: a head comment is often unlike any other and would be learnt by heart.
 
 A copy of third-party code that was put among a repository's own files, perhaps patched and without its header, looks like
 any other code. It is found by its line runs: winnowed fingerprints of files that the head or path view reports, matched with
@@ -163,27 +163,25 @@ def fit_views(rows: DataFrame, sample: int = 12_000, held_out: int = 5) -> dict[
         view = rows["view"].iloc[0]
         rows = rows.sort_values(["repo", "path"])
         parts = [split_head(t) for t in rows["text"]]
-        plain = np.array([bool(_GIVEAWAY.search(h)) or bool(_PATH_PART.search(p)) for (h, _), p in zip(parts, rows["path"])], bool)
+        heads = np.array([bool(_GIVEAWAY.search(h)) for h, _ in parts], bool)
+        paths = np.array([bool(_PATH_PART.search(p)) for p in rows["path"]], bool)
+        told = heads | paths
         if view == "body":
-            plain |= np.array([is_data(body) for _, body in parts], bool)
+            told |= rows["reason"].to_numpy(bool) | np.array([is_data(body) for _, body in parts], bool)
             x = [body_features(body) for _, body in parts]
         else:
             x = [head_features(h) for h, _ in parts] if view == "head" else [path_features(p) for p in rows["path"]]
-        y = np.where(plain | rows["reason"].to_numpy(bool), 1, -1)
+        y = np.where(told, 1, -1)
         apart = np.array([zlib.crc32(r.lower().encode()) % held_out == 0 for r in rows["repo"]])
         if not (y[~apart] > 0).any() or not (y[~apart] < 0).any() or not apart.any():
             return pd.DataFrame({"view": [view], "weights": [np.zeros(WIDTH, np.float32).tobytes()], "bias": [0.0], "threshold": [float("inf")]})
-        half = np.array([zlib.crc32(r.lower().encode()) // held_out % 2 for r in rows["repo"]])
-        crossed = np.zeros(len(x))
-        for side in (0, 1):  # each half of the repositories is judged by a model of the other half
-            model = fit_linear([x[i] for i in np.flatnonzero(half != side)], y[half != side])
-            for i in np.flatnonzero(half == side):
-                crossed[i] = model.score(x[i])
-        valley = _threshold(crossed)
-        labels = np.where(plain | (crossed >= valley), 1, -1)  # a reason alone may be wrong, and what is not told may be found
         keep = np.flatnonzero(~apart)
-        model = fit_linear([x[i] for i in keep], labels[keep])
-        threshold = _threshold(np.array([model.score(x[i]) for i in np.flatnonzero(apart)]))
+        labels = y
+        for _ in range(2):  # what the first fit finds is no negative for the second
+            model = fit_linear([x[i] for i in keep], labels[keep])
+            scores = np.array([model.score(i) for i in x])
+            threshold = _threshold(scores[apart])
+            labels = np.where((y > 0) | (scores >= threshold), 1, -1)
         return pd.DataFrame({"view": [view], "weights": [model.weights.astype(np.float32).tobytes()], "bias": [model.bias], "threshold": [threshold]})
 
     fitted = drawn.select("*", views).groupBy("view").applyInPandas(fit, "view string, weights binary, bias double, threshold double").collect()
