@@ -175,7 +175,7 @@ def _wrapped(value: object) -> list:
 
 def _decoded(text: str) -> object:
     """The JSON value of ``text``; of a text that was cut off, a list of its complete items."""
-    text = text.strip("﻿ \t\r\n")
+    text = text.strip("\ufeff \t\r\n")
     try:
         return json.loads(text, strict=False)
     except (ValueError, RecursionError):
