@@ -37,7 +37,7 @@ PATH_PARTS = r"(^|/)(node_modules|bower_components|_?vendor(ed)?|_vendored|third
 PLAIN_REASONS = r"^\s*(unsupported extension|file too large)"
 
 WIDTH = 1 << 16
-_HEAD = re.compile(r"﻿?(?:[ \t]*(?:(?:#|//|<!--|--)[^\n]*|/\*.*?\*/|\"\"\"[^\n]*?\"\"\"|'''[^\n]*?''')?[ \t]*(?:\n|\Z))*", re.S)
+_HEAD = re.compile(r"\ufeff?(?:[ \t]*(?:(?:#|//|<!--|--)[^\n]*|/\*.*?\*/|\"\"\"[^\n]*?\"\"\"|'''[^\n]*?''')?[ \t]*(?:\n|\Z))*", re.S)
 _GIVEAWAY = re.compile(GIVEAWAYS, re.I)
 _PATH_PART = re.compile(PATH_PARTS, re.I)
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b[0-9][0-9a-fA-FxX_.eE+-]*|\b(?:true|false|null|None|True|False)\b|[\s\[\]{}(),:;]+")

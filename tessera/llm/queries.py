@@ -10,6 +10,7 @@ from tessera.llm.consensus import consensus
 from tessera.llm.handwritten import handwritten_findings, not_handwritten
 from tessera.llm.leakage import leaked_items
 from tessera.llm.stuffing import stuffed_documents
+from tessera.llm.syntax import invalid_files, invalid_rates
 from tessera.session import ship
 from tessera.sources.tables import table
 
@@ -36,6 +37,16 @@ def p1_findings(spark: SparkSession, d: str) -> DataFrame:
     return handwritten_findings(table(spark, d, "findings"), table(spark, d, "source_files"), table(spark, d, "file_results"))
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_files(table(spark, d, "source_files"))
+
+
+@query
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_rates(table(spark, d, "source_files"), table(spark, d, "file_results"))
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus(table(spark, d, "votes")).items.select("url", "classification")
