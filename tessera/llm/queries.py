@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.consensus import consensus
 from tessera.llm.handwritten import handwritten_findings, not_handwritten
 from tessera.llm.leakage import leaked_items
+from tessera.llm.linkage import linked_batches
 from tessera.llm.stuffing import stuffed_documents
 from tessera.llm.syntax import invalid_files, invalid_rates
 from tessera.session import ship
@@ -57,6 +58,11 @@ def p3_judges(spark: SparkSession, d: str) -> DataFrame:
     return consensus(table(spark, d, "votes")).judges
 
 
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_batches(table(spark, d, "repos_test")).result()
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
