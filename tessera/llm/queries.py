@@ -10,6 +10,7 @@ from tessera.llm.consensus import consensus
 from tessera.llm.handwritten import handwritten_findings, not_handwritten
 from tessera.llm.leakage import leaked_items
 from tessera.llm.linkage import linked_batches
+from tessera.llm.packing import fill_report, packed
 from tessera.llm.stuffing import stuffed_documents
 from tessera.llm.syntax import invalid_files, invalid_rates
 from tessera.session import ship
@@ -63,6 +64,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_batches(table(spark, d, "repos_test")).result()
 
 
+@query
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packed(table(spark, d, "documents"))
+
+
+@query
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(packed(table(spark, d, "documents")))
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
