@@ -218,9 +218,10 @@ class Tables:
 class Recogniser:
     """Steps sets of stacks over tokens. ``twins`` maps a token to the terminals it may stand for, the first one that a state
     can shift excluding the others. ``end`` is a token that may be put in where the next one does not fit (at line starts, before
-    ``close`` tokens and at the end)."""
+    ``close`` tokens and at the end); before an ``either`` token at a line's start both readings are followed."""
 
-    def __init__(self, tables: Tables, twins: dict[str, tuple[str, ...]] | None = None, end: str | None = None, close: frozenset[str] = frozenset(), most: int = 400_000):
+    def __init__(self, tables: Tables, twins: dict[str, tuple[str, ...]] | None = None, end: str | None = None, close: frozenset[str] = frozenset(), either: frozenset[str] = frozenset(), most: int = 400_000):
+        self.either = either
         self.t, self.twins, self.end, self.close, self.most = tables, twins or {}, end, close, most
         self.forget()
 
@@ -289,6 +290,8 @@ class Recogniser:
             if ended.all or before in forced:
                 return ended
         new = self.step(stacks, kind)
+        if self.end and first and kind in self.either and new.all:
+            new = self._set({*new.all, *self.step(self.step(stacks, self.end), kind).all})
         if not new.all and self.end and (first or kind in self.close):
             new = self.step(self.step(stacks, self.end), kind)
         return new

@@ -49,7 +49,7 @@ class Parser:
 
     def __init__(self, made: dict[tuple[str, frozenset[str]], Tables]):
         self.by = {
-            key: Recogniser(t) if key[0] == "python" else Recogniser(t, _TWINS, "ASI", frozenset({"}", "$end"})) for key, t in made.items()
+            key: Recogniser(t) if key[0] == "python" else Recogniser(t, _TWINS, "ASI", frozenset({"}", "$end"}), frozenset({"["} if "ts" in key[1] else ())) for key, t in made.items()
         }
 
     def error(self, suffix: str, text: str) -> tuple[int, str] | None:
