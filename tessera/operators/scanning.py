@@ -113,3 +113,32 @@ def framework_comparison(declared: DataFrame, detected: DataFrame) -> DataFrame:
     by = tagged.groupBy("repo", "framework").agg(F.max("d").alias("d"), F.max("f").alias("f"))
     names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("framework")))), ",")
     return by.groupBy("repo").agg(names((F.col("d") == 1) & (F.col("f") == 1)).alias("agrees"), names((F.col("d") == 1) & (F.col("f") == 0)).alias("declared_only"), names((F.col("d") == 0) & (F.col("f") == 1)).alias("detected_only"))
+
+
+def failure_runs(rows: DataFrame, by: str, order: list[str], failed: Column, least: int) -> DataFrame:
+    """``by, started, n``: runs of at least ``least`` failures in a row, by gaps and islands."""
+    w = Window.partitionBy(by).orderBy(*order)
+    numbered = rows.withColumn("_f", failed).withColumn("_i", F.row_number().over(w)).where("_f")
+    islands = numbered.withColumn("_g", F.col("_i") - F.row_number().over(Window.partitionBy(by).orderBy("_i")))
+    return islands.groupBy(by, "_g").agg(F.min(order[0]).alias("started"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_g")
+
+
+def import_links(files: DataFrame, endings: tuple[str, ...]) -> DataFrame:
+    """``file_id, target_id``: which file of the repository a relative import of the same folder names, the first of ``endings`` that exists.
+
+    Imports and candidate paths meet by equality on repository and path, so no pairs of files are formed.
+    """
+    pattern = r"(?m)^\s*(?:import|export)\b.*\bfrom\s+['\"]\./([\w.-]+)['\"]"
+    folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    wants = files.where("text is not null").select("file_id", F.lower("repo").alias("repo"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), lambda m: F.concat(folder, m)))).alias("base"))
+    tried = wants.select("*", F.posexplode(F.array(*[F.lit(e) for e in endings])).alias("rank", "ending")).withColumn("path", F.concat("base", "ending"))
+    targets = files.select(F.lower("repo").alias("repo"), "path", F.col("file_id").alias("target_id"))
+    return tried.join(targets, ["repo", "path"]).groupBy("file_id", "base").agg(F.min_by("target_id", "rank").alias("target_id")).select("file_id", "target_id").distinct()
+
+
+def tools_evidence(findings: DataFrame) -> DataFrame:
+    """``repo, source, tool`` of the three ways by which a tool shows."""
+    bound = findings.where("type = 'agent'").select("repo", F.lit("agent").alias("source"), F.explode("tools_bound").alias("tool"))
+    named = findings.where("type = 'custom_agent'").select("repo", F.lit("custom_agent").alias("source"), F.explode("tool_names").alias("tool"))
+    defined = findings.where("type = 'confirmed_tool_definition'").select("repo", F.lit("definition").alias("source"), F.col("name").alias("tool"))
+    return bound.unionByName(named).unionByName(defined).where("tool is not null")

@@ -377,3 +377,58 @@ def scanned_repos(spark: SparkSession, d: str) -> DataFrame:
     keep = table(spark, d, "findings").select(F.lower("repo_name").alias("k")).distinct()
     repos = table(spark, d, "repos_test").where("name is not null")
     return repos.join(keep, F.lower("name") == F.col("k"), "left_semi").select("row_id")
+
+
+@query("""
+WITH n AS (SELECT judge, processed_at, url, error IS NOT NULL AS f, row_number() OVER (PARTITION BY judge ORDER BY processed_at, url) AS i FROM votes),
+g AS (SELECT judge, processed_at, i - row_number() OVER (PARTITION BY judge ORDER BY i) AS g FROM n WHERE f)
+SELECT judge, min(processed_at) AS started, count(*) AS n FROM g GROUP BY judge, g HAVING count(*) >= 2""")
+def failure_runs(spark: SparkSession, d: str) -> DataFrame:
+    return S.failure_runs(table(spark, d, "votes"), "judge", ["processed_at", "url"], F.col("error").isNotNull(), 2)
+
+
+@query(f"""WITH {_FINDINGS} SELECT repo, 'agent' AS source, tool, count(*) AS n FROM (SELECT repo, unnest(tools_bound) AS tool FROM f WHERE type = 'agent') WHERE tool IS NOT NULL GROUP BY ALL
+UNION ALL SELECT repo, 'custom_agent', tool, count(*) FROM (SELECT repo, unnest(tool_names) AS tool FROM f WHERE type = 'custom_agent') WHERE tool IS NOT NULL GROUP BY ALL
+UNION ALL SELECT repo, 'definition', name, count(*) FROM f WHERE type = 'confirmed_tool_definition' AND name IS NOT NULL GROUP BY ALL""")
+def tools_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return S.tools_evidence(findings(spark, d)).groupBy("repo", "source", "tool").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_FINDINGS} SELECT repo, file, name, arg_max(framework, line) AS framework, max(line) AS line FROM
+(SELECT repo, file, name, line, max(framework) AS framework FROM f WHERE type IN ('agent', 'store') AND name IS NOT NULL AND framework IS NOT NULL GROUP BY ALL) GROUP BY repo, file, name""")
+def last_creation(spark: SparkSession, d: str) -> DataFrame:
+    rows = findings(spark, d).where("type in ('agent', 'store') and name is not null and framework is not null").groupBy("repo", "file", "name", "line").agg(F.max("framework").alias("framework"))
+    return rows.groupBy("repo", "file", "name").agg(F.max_by("framework", "line").alias("framework"), F.max("line").alias("line"))
+
+
+@query(f"""WITH {_FINDINGS}, made AS (SELECT DISTINCT repo, framework FROM f WHERE type IN ('agent', 'store') AND framework IS NOT NULL), named AS (SELECT DISTINCT repo, framework FROM f WHERE framework IS NOT NULL)
+SELECT n.repo, n.framework, m.framework IS NOT NULL AS instantiated FROM named n LEFT JOIN made m ON n.repo = m.repo AND n.framework = m.framework""")
+def framework_usage(spark: SparkSession, d: str) -> DataFrame:
+    rows = findings(spark, d).where("framework is not null")
+    return rows.groupBy("repo", "framework").agg(F.bool_or(F.col("type").isin("agent", "store")).alias("instantiated"))
+
+
+@query("SELECT lower(keyword) AS keyword, string_agg(name, ',' ORDER BY name) AS frameworks FROM (SELECT DISTINCT name, unnest(keywords) AS keyword FROM framework_registry) GROUP BY 1")
+def keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "framework_registry").select("name", F.explode("keywords").alias("keyword")).distinct()
+    return rows.groupBy(F.lower("keyword").alias("keyword")).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("frameworks"))
+
+
+@query("SELECT lower(name) AS name, count(*) AS n, count(DISTINCT url) AS n_urls FROM repos_test WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "repos_test").where("name is not null").groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("url").alias("n_urls")).where("n > 1")
+
+
+@query(r"""
+WITH s AS (SELECT lower(repo) AS repo, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS suffix, CAST(sum(size) AS BIGINT) AS bytes FROM source_files GROUP BY 1, 2)
+SELECT repo, suffix, bytes, bytes * 100.0::DOUBLE / sum(bytes) OVER (PARTITION BY repo) AS percentage FROM s""")
+def byte_shares(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    by = table(spark, d, "source_files").groupBy(F.lower("repo").alias("repo"), T.suffix(F.col("path")).alias("suffix")).agg(F.sum("size").alias("bytes"))
+    return by.withColumn("percentage", F.col("bytes") * F.lit(100.0) / F.sum("bytes").over(Window.partitionBy("repo")))
+
+
+@query(f"SELECT judge, count(*) AS total, count(*) FILTER (error IS NULL) AS successful, count(*) FILTER (error IS NOT NULL) AS failed FROM votes GROUP BY judge")
+def judge_counters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "votes").groupBy("judge").agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("successful"), F.count_if(F.col("error").isNotNull()).alias("failed"))

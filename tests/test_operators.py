@@ -77,6 +77,16 @@ def test_as_of_falls_back_to_the_first(spark):
     assert got == {"a": (5, "s5"), "b": (7, "s7"), "c": (None, None)}
 
 
+def test_import_links(spark):
+    files = spark.createDataFrame([(1, "R", "a/x.ts", "import { y } from './y';\nexport * from \"./z\"\nimport q from 'q'"), (2, "r", "a/y.js", None), (3, "r", "a/y.ts", ""), (4, "other", "a/z.ts", "")], "file_id int, repo string, path string, text string")
+    assert [(r.file_id, r.target_id) for r in S.import_links(files, (".ts", ".js")).collect()] == [(1, 3)]
+
+
+def test_failure_runs(spark):
+    rows = spark.createDataFrame([("j", i, f) for i, f in enumerate([True, True, False, True, True, True])], "j string, i int, f boolean")
+    assert sorted((r.started, r.n) for r in S.failure_runs(rows, "j", ["i"], F.col("f"), 2).collect()) == [(0, 2), (3, 3)]
+
+
 def test_check_window_is_the_line_and_four_above(spark):
     text = "\n".join(["validate(x)", "", "", "", "kb.add(a)", "kb.add(b)"])
     got = S.near_check(spark.createDataFrame([(1, text)], "file_id int, text string"), r"\.add\(").orderBy("line").collect()
