@@ -19,10 +19,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a <> b").distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select("b", "m", "a")
+        small = down.join(low.hint("merge"), "a").select("b", "m", "a")
         now = cut(small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
         # settled once every node points to one root and no root points anywhere
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("r")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("r")))
