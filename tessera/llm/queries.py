@@ -61,7 +61,7 @@ def p3_judges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return linked_batches(table(spark, d, "repos_test")).result()
+    return linked_batches(table(spark, d, "repos_test"))
 
 
 @query
