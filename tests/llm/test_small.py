@@ -191,6 +191,13 @@ def test_later_row_joins_two_clusters(spark):
     assert linked_batches(spark.createDataFrame([], REPOS)).count() == 0
 
 
+def test_late_languages_meet_what_came_between(spark):
+    a = [("Go", 70.0), ("C", 30.0)]
+    rows = [(5, 0, "x/kit-moreba", "https://h/x/kit-moreba", None), (100, 1, "y/kit-moreba", "https://h/y/kit-moreba", a), (200, 2, "x/kit-moreba", "https://h/x/kit-moreba", a)]
+    got = sorted(map(tuple, linked_batches(spark.createDataFrame([(*r, "n", "k") for r in rows], REPOS)).collect()))
+    assert got == [(5, 100), (5, 200)]
+
+
 def test_comparisons():
     assert [name_level(*p) for p in (("a-b", "a_B"), ("the-kit", "kit"), ("parser", "prser"), ("parser", "lexer"), ("", ""))] == [0, 1, 2, 4, 0]
     assert edits("abcd", "abdc") == 1
