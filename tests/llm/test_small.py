@@ -198,6 +198,12 @@ def test_late_languages_meet_what_came_between(spark):
     assert got == [(5, 100), (5, 200)]
 
 
+def test_every_address_of_a_cell_is_compared(spark):
+    for last in (0, 1):
+        rows = [(i, b, f"o{i}/starter", f"https://h/o{i}/starter", [("Go", x)], "n", "k") for i, b, x in ((0, 0, 10.0), (1, 0, 10.24), (2, last, 10.7))]
+        assert sorted(map(tuple, linked_batches(spark.createDataFrame(rows, REPOS)).collect())) == [(0, 1), (0, 2)]
+
+
 def test_comparisons():
     assert [name_level(*p) for p in (("a-b", "a_B"), ("the-kit", "kit"), ("parser", "prser"), ("parser", "lexer"), ("", ""))] == [0, 1, 2, 4, 0]
     assert edits("abcd", "abdc") == 1
