@@ -250,7 +250,7 @@ def not_handwritten(files: DataFrame, results: DataFrame) -> DataFrame:
 
 def plain_path(path: Column) -> Column:
     """A path without ``./``, doubled or leading slashes, and with forward slashes."""
-    x = F.regexp_replace(F.regexp_replace(F.trim(path), r"\\\\", "/"), r"/+", "/")
+    x = F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"/+", "/")
     return F.regexp_replace(x, r"^(\./|/)+", "")
 
 

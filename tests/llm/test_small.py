@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tessera.llm import handwritten
 from tessera.llm.consensus import LABELS, consensus
 from tessera.llm.handwritten import fingerprints, is_data, not_handwritten, split_head
 from tessera.llm.leakage import leaked_items, myers, plain_words
@@ -278,3 +279,10 @@ def test_places(spark):
     same = ["https://h/O/R", "http://www.h/o/r/", "git@h:o/r.git", "ssh://git@h/o/r", "git+https://h/o/r.git@v1", "h/o/r", " HTTPS://H/o/r \n", "https://h/o/r/tree/main?x=1#y", "https://h/o/%72"]
     got = {r.p for r in spark.createDataFrame([(u,) for u in same], "u string").select(place(F.col("u")).alias("p")).collect()}
     assert got == {"h/o/r"}
+
+
+def test_findings_with_backslash_paths(spark, monkeypatch):
+    files = spark.createDataFrame([(1, "O/r", "src/verdict_x.ts"), (2, "O/r", "src/own.ts")], "file_id bigint, repo string, path string")
+    found = spark.createDataFrame([("o/R", r"src\verdict_x.ts"), ("o/R", r"src\\verdict_x.ts"), ("o/R", r".\src\own.ts")], "repo_name string, file string")
+    monkeypatch.setattr(handwritten, "not_handwritten", lambda *_: files.where("file_id = 1").select("file_id"))
+    assert [r.file for r in handwritten.handwritten_findings(found, files, None).collect()] == [r".\src\own.ts"]
