@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 
 def language_share(languages: Column, wanted: tuple[str, ...]) -> Column:
     """The wanted languages' part of all shares in percent, 0 where there are none; null elements count nothing."""
@@ -28,15 +30,27 @@ def top_in_array(rows: DataFrame, key: str, array: str, by: str, k: int) -> Data
 
 
 def first_by_any_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows that are the first of each of their keys in ``order``; a null key says nothing.
+    """Rows none of whose keys stands in an earlier row that was itself kept, in ``order``; a rejected row marks nothing, a null key says nothing.
 
-    A repeated key is found by a grouped minimum and a join for each key, so that a key that fills a third of the rows is combined before the shuffle.
+    Each round keeps the undecided rows that are the first of all their keys and rejects those that share a key with them, by grouped minima and
+    joins over written tables, until none is undecided. The first undecided row is decided in each round. Rows with a key but no ``order`` are dropped.
     """
-    out = rows
-    for k in keys:
-        first = rows.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min(order).alias("_first"))
-        out = out.join(first, out[k] == first["_k"], "left").where(F.col("_first").isNull() | (F.col(order) == F.col("_first"))).drop("_k", "_first")
-    return out
+    keyless = " and ".join(f"`{k}` is null" for k in keys)
+    todo = cut(rows.where(f"`{order}` is not null and not ({keyless})"))
+    kept = rows.where(keyless)
+    while not todo.isEmpty():
+        marked = todo.withColumn("_ok", F.lit(True))
+        for k in keys:
+            first = todo.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min(order).alias("_first"))
+            marked = marked.join(first, marked[k] == first["_k"], "left").withColumn("_ok", F.col("_ok") & (F.col("_first").isNull() | (F.col(order) == F.col("_first")))).drop("_k", "_first")
+        marked = cut(marked)
+        won = marked.where("_ok").drop("_ok")
+        kept = kept.unionByName(won)
+        left = marked.where("not _ok").drop("_ok")
+        for k in keys:
+            left = left.join(won.where(F.col(k).isNotNull()).select(F.col(k).alias("_k")).distinct(), F.col(k) == F.col("_k"), "left_anti")
+        todo = cut(left)
+    return kept
 
 
 def keyword_hits(texts: DataFrame, key: str, text: str, registry: DataFrame, most: int = 2_000) -> DataFrame:

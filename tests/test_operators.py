@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import tarfile
 
 import pytest
@@ -56,6 +57,19 @@ def test_verdicts_and_dedupe(spark):
     assert sorted(r.o for r in M.first_by_any_key(seen, ["url", "name"], "o").collect()) == [1, 4, 5]
 
 
+def test_rejected_rows_mark_nothing(spark):
+    rng = random.Random(3)
+    rows = [(1, "u1", "n"), (2, "u2", "n"), (3, "u2", "m")] + [(i, rng.choice([None, *"abcdefgh"]), rng.choice([None, *"pqrstuvw"])) for i in range(4, 40)]
+    marks, keep = set(), []
+    for o, *ks in rows:
+        own = {(i, k) for i, k in enumerate(ks) if k is not None}
+        if not own & marks:
+            marks |= own
+            keep.append(o)
+    assert {1, 3} <= set(keep)
+    assert sorted(r.o for r in M.first_by_any_key(spark.createDataFrame(rows, "o int, url string, name string"), ["url", "name"], "o").collect()) == keep
+
+
 def test_longest_prefix(spark):
     prefixes = spark.createDataFrame([("@a", "A"), ("@a/core", "C"), ("b", "B")], "p string, f string")
     values = spark.createDataFrame([("@a/core-x",), ("@a/other",), ("bc",), ("b",), (None,), ("",)], "v string")
