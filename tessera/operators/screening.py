@@ -66,3 +66,10 @@ def jaccard(flags: DataFrame, sets: list[str]) -> DataFrame:
     pairs = list(combinations(sets, 2))
     counts = flags.agg(*[f(F.coalesce(c, F.lit(False))).alias(f"{n}_{i}") for i, (a, b) in enumerate(pairs) for n, f, c in (("both", F.count_if, F.col(a) & F.col(b)), ("either", F.count_if, F.col(a) | F.col(b)))])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"both_{i}").alias("both"), F.col(f"either_{i}").alias("either")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+def all_answers(votes: DataFrame) -> DataFrame:
+    """``url, judge, label`` for each repository and each judge of ``votes (url, judge, label)``; '' where there is no label."""
+    pairs = votes.select("url").distinct().crossJoin(votes.select("judge").distinct())
+    labels = votes.where(is_label(F.col("label"))).select("url", "judge", F.lower("label").alias("label"))
+    return pairs.join(labels, ["url", "judge"], "left").select("url", "judge", F.coalesce("label", F.lit("")).alias("label"))

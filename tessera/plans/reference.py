@@ -118,6 +118,13 @@ def judge_pivot(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("url").agg(one("larkspur-70b").alias("larkspur"), one("tamarind-xl").alias("tamarind"))
 
 
+@query(f"""WITH {_LATEST}, p AS (SELECT url, judge, CASE WHEN lower(label) NOT IN ('', 'error', 'needs_review', 'needs review') THEN lower(label) END AS label FROM l)
+SELECT u.url, j.judge, coalesce(p.label, '') AS label FROM (SELECT DISTINCT url FROM l) u CROSS JOIN (SELECT DISTINCT judge FROM l) j LEFT JOIN p ON p.url = u.url AND p.judge = j.judge""")
+def judge_answers(spark: SparkSession, d: str) -> DataFrame:
+    """J4 for all judges, as long rows: each repository x each judge, '' where there is no answer."""
+    return J.all_answers(latest(spark, d))
+
+
 @query(f"""WITH {_LATEST}, w AS (SELECT url, judge, lower(label) AS label FROM l WHERE lower(label) NOT IN ('', 'error', 'needs_review', 'needs review'))
 SELECT a.judge AS judge_a, b.judge AS judge_b, count(*) AS n_both, count(*) FILTER (a.label = b.label) AS n_same FROM w a JOIN w b ON a.url = b.url AND a.judge < b.judge GROUP BY 1, 2""")
 def pairwise_agreement(spark: SparkSession, d: str) -> DataFrame:

@@ -84,6 +84,11 @@ def test_votes_merge_with_manual_sheet(spark):
     assert got == {"u1": ("app", "judges"), "u2": ("app", "manual"), "u3": (None, "none"), "u4": ("framework", "judges"), "u5": ("app", "manual"), "u6": ("app", "manual")}
 
 
+def test_all_judges_answer(spark):
+    votes = spark.createDataFrame([("u", "a", "App"), ("u", "b", "error"), ("v", "c", "framework")], "url string, judge string, label string")
+    assert {tuple(r) for r in J.all_answers(votes).collect()} == {("u", "a", "app"), ("u", "b", ""), ("u", "c", ""), ("v", "a", ""), ("v", "b", ""), ("v", "c", "framework")}
+
+
 def test_as_of_falls_back_to_the_first(spark):
     uses = spark.createDataFrame([("f", 1, "a"), ("f", 7, "b"), ("g", 3, "c")], "file string, line int, u string")
     made = spark.createDataFrame([("f", 5, "s5"), ("f", 7, "s7"), ("f", 9, "s9")], "file string, line int, s string")
