@@ -115,6 +115,13 @@ def framework_comparison(declared: DataFrame, detected: DataFrame) -> DataFrame:
     return by.groupBy("repo").agg(names((F.col("d") == 1) & (F.col("f") == 1)).alias("agrees"), names((F.col("d") == 1) & (F.col("f") == 0)).alias("declared_only"), names((F.col("d") == 0) & (F.col("f") == 1)).alias("detected_only"))
 
 
+def framework_stages(made: DataFrame, imported: DataFrame, declared: DataFrame) -> DataFrame:
+    """``repo, framework, stage``: the furthest of declared, imported and instantiated; all sides are ``repo, framework``."""
+    tagged = made.withColumn("n", F.lit(3)).unionByName(imported.withColumn("n", F.lit(2))).unionByName(declared.withColumn("n", F.lit(1)))
+    stage = F.when(F.max("n") == 3, "instantiated").when(F.max("n") == 2, "imported").otherwise("declared")
+    return tagged.where("repo is not null and framework is not null").groupBy("repo", "framework").agg(stage.alias("stage"))
+
+
 def failure_runs(rows: DataFrame, by: str, order: list[str], failed: Column, least: int) -> DataFrame:
     """``by, started, n``: runs of at least ``least`` failures in a row, by gaps and islands."""
     w = Window.partitionBy(by).orderBy(*order)

@@ -415,6 +415,20 @@ def framework_usage(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("repo", "framework").agg(F.bool_or(F.col("type").isin("agent", "store")).alias("instantiated"))
 
 
+@query(rf"""WITH {_FINDINGS}, m AS (SELECT DISTINCT lower(repo) AS repo, regexp_extract(unnest(regexp_extract_all(text, '(?m)^\s*(?:from|import)\s+(?:.*\bfrom\s+)?[''"]?([@A-Za-z][\w./@-]*)', 1)), '^(@[^/]+/[^/]+|[^/.]+)', 1) AS dependency FROM source_files WHERE text IS NOT NULL),
+x AS (SELECT repo, framework, 3 AS n FROM f WHERE type IN ('agent', 'store')
+UNION ALL SELECT m.repo, r.name, 2 FROM m JOIN (SELECT name, unnest(dependencies) AS dependency FROM framework_registry) r USING (dependency)
+UNION ALL SELECT lower(name), x.name, 1 FROM (SELECT name, unnest(frameworks) AS x FROM repos_test))
+SELECT repo, framework, CASE max(n) WHEN 3 THEN 'instantiated' WHEN 2 THEN 'imported' ELSE 'declared' END AS stage FROM x WHERE repo IS NOT NULL AND framework IS NOT NULL GROUP BY repo, framework""")
+def framework_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Instantiated; imported but not instantiated; declared but neither."""
+    made = findings(spark, d).where("type in ('agent', 'store')").select("repo", "framework")
+    files = table(spark, d, "source_files")
+    imported = M.imported_frameworks(files, table(spark, d, "framework_registry")).join(files.select("file_id", F.lower("repo").alias("repo")), "file_id").select("repo", "framework")
+    declared = table(spark, d, "repos_test").select(F.lower("name").alias("repo"), F.explode("frameworks").alias("x")).select("repo", F.col("x.name").alias("framework"))
+    return S.framework_stages(made, imported, declared)
+
+
 @query("SELECT lower(keyword) AS keyword, string_agg(name, ',' ORDER BY name) AS frameworks FROM (SELECT DISTINCT name, unnest(keywords) AS keyword FROM framework_registry) GROUP BY 1")
 def keyword_index(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "framework_registry").select("name", F.explode("keywords").alias("keyword")).distinct()

@@ -89,6 +89,11 @@ def test_all_judges_answer(spark):
     assert {tuple(r) for r in J.all_answers(votes).collect()} == {("u", "a", "app"), ("u", "b", ""), ("u", "c", ""), ("v", "a", ""), ("v", "b", ""), ("v", "c", "framework")}
 
 
+def test_framework_stages(spark):
+    sets = [spark.createDataFrame([("r", x) for x in xs], "repo string, framework string") for xs in ("a", "ab", "abc")]
+    assert {r.framework: r.stage for r in S.framework_stages(*sets).collect()} == {"a": "instantiated", "b": "imported", "c": "declared"}
+
+
 def test_as_of_falls_back_to_the_first(spark):
     uses = spark.createDataFrame([("f", 1, "a"), ("f", 7, "b"), ("g", 3, "c")], "file string, line int, u string")
     made = spark.createDataFrame([("f", 5, "s5"), ("f", 7, "s7"), ("f", 9, "s9")], "file string, line int, s string")
