@@ -5,11 +5,14 @@ import random
 
 import pytest
 
+from plain import edits, name_level, share_level
+
 from tessera.llm import handwritten
 from tessera.llm.consensus import LABELS, consensus
 from tessera.llm.handwritten import fingerprints, is_data, not_handwritten, split_head
 from tessera.llm.leakage import leaked_items, myers, plain_words
-from tessera.llm.linkage import edits, linked_batches, name_level, place, share_level
+from tessera.llm import linkage
+from tessera.llm.linkage import Linker, accepted, learn_weights, linked_batches, place, plain_rows, repeated_rows
 from tessera.llm.packing import TOKENIZER, evolved, fill_report, fitness, packed
 from tessera.llm.stuffing import split_blocks, stuffed_documents, stuffing_shares
 from tessera.llm.syntax import invalid_files, invalid_rates, parsed_files
@@ -212,6 +215,102 @@ def test_comparisons():
     assert [share_level(x(a=60, b=40), y) for y in (x(a=60.1, b=39.9), x(a=60.5, b=39.5), x(a=60.6, b=39.4), x(a=60, c=40), [{"name": "a", "share": 60}, None])] == [0, 1, 2, 2, 0]
 
 
+def test_comparisons_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    names = [("a-b", "a_B"), ("the-kit", "kit"), ("parser", "prser"), ("parser", "lexer"), ("", ""), ("abcdefghijkl", "abdcefghijkl"), ("abcdefghijkl", "abdcefghijkx"), ("ab", "ab-c"), ("", "x")]
+    for _ in range(300):
+        word = "".join(rng.choice("abc-") for _ in range(rng.randint(0, 13)))
+        other = list(word)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(other))
+            other[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "x", "-"])
+        names.append((word, "".join(other)))
+    shares = []
+    for _ in range(300):
+        x = [(n, round(rng.uniform(0, 99), 1)) for n in rng.sample("pqrs", rng.randint(1, 4))]
+        y = [(n if rng.random() < 0.9 else rng.choice(["t", None]), s + rng.choice([0, 0.1, -0.2, 0.3, 0.5, 0.6])) for n, s in x]
+        shares.append((x, y if rng.random() < 0.8 else y[:-1]))
+    kind = "array<struct<name:string,share:double>>"
+    rows = spark.createDataFrame([(*names[i % len(names)], *shares[i % len(shares)]) for i in range(310)], f"a string, b string, x {kind}, y {kind}")
+    wide = lambda c: F.transform(F.array_sort(c), lambda e: F.struct(e["name"].alias("name"), e["share"].alias("least"), e["share"].alias("most")))
+    got = rows.select("*", linkage.name_level(linkage.name_words(F.col("a")), linkage.name_words(F.col("b"))).alias("n"), linkage.share_level(linkage.apart(wide("x"), wide("y"), F.lit(0), F.lit(0))).alias("s")).collect()
+    assert [(r.a, r.b, r.n) for r in got if r.n != name_level(r.a, r.b)] == []
+    plain = [r for r in got if all(e.name for e in [*r.x, *r.y])]
+    assert len(plain) > 100 and [(r.x, r.y) for r in plain if r.s != share_level(r.x, r.y)] == []
+
+
+def brute_pairs(rows):
+    """Union-find over all pairs of rows of one host: address, or name and shares of the address's first row with languages."""
+    said, first, root = {}, {}, {}
+    for i, _, name, url, langs in sorted(rows):
+        addr = (url or f"https://h/{name}").lower().removesuffix("/")
+        first.setdefault(addr, i)
+        said.setdefault(addr, None)
+        if langs and said[addr] is None:
+            said[addr] = (addr.rsplit("/", 1)[-1], [{"name": n, "share": s} for n, s in langs])
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    known = [(a, v) for a, v in said.items() if v]
+    for k, (a, (n, x)) in enumerate(known):
+        for b, (m, y) in known[:k]:
+            if name_level(n, m) < 4 and share_level(x, y) < 2:
+                p, q = sorted((find(a), find(b)), key=first.get)
+                root[q] = p
+    return sorted((first[find(a)], i) for i, _, name, url, _ in rows for a in [(url or f"https://h/{name}").lower().removesuffix("/")] if first[find(a)] != i)
+
+
+def many_rows(n, batches, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        name = rng.choice(["starter", "parser", "the-parser", "parsre", "kit-moreba", "kit-morebax", "lexer"]) if rng.random() < 0.7 else f"n{rng.randrange(9)}{'abcdefghij'[rng.randrange(10)] * 3}x"
+        base = rng.choice([20.0, 20.3, 20.55, 21.0, 40.0])
+        langs = rng.choice([[("Go", base), ("C", 100 - base)], [("Go", base), ("C", 70 - base + rng.choice([0, 0.2, 0.45])), ("D", 30.0)], None, [("Go", 100.0)]])
+        rows.append((i, i * batches // n, f"o{rng.randrange(n // 2)}/{name}", None, langs))
+    return [(i, b, name, f"https://h/{name}", langs) for i, b, name, _, langs in rows]
+
+
+def test_against_all_pairs(spark):
+    rows = many_rows(150, 3)
+    got = sorted(map(tuple, linked_batches(spark.createDataFrame([(*r, "n", "k") for r in rows], REPOS)).collect()))
+    assert got == brute_pairs(rows) and len(got) > 30
+
+
+def test_state_goes_on_in_another_session(spark, tmp_path):
+    rows = many_rows(120, 3, seed=5)
+    repos = plain_rows(spark.createDataFrame([(*r, "n", "k") for r in rows], REPOS), "h")
+    first = Linker(spark, f"file://{tmp_path}/state", "h")
+    for b in (0, 1):
+        first.add(b, repos.where(f"batch_no = {b}"))
+    before = sorted(map(str, tmp_path.rglob("batch_no=[01]/*.parquet")))
+    other = Linker.open(spark.newSession(), f"file://{tmp_path}/state")
+    assert (other.done, other.counts, other.weights, other.parts) == (first.done, first.counts, first.weights, first.parts)
+    for _ in range(2):  # a repeated batch changes nothing
+        other.add(2, repos.where("batch_no = 2"))
+    assert sorted(map(str, tmp_path.rglob("batch_no=[01]/*.parquet"))) == before
+    assert sorted(map(tuple, repeated_rows(other.assigned(repos)).collect())) == brute_pairs(rows)
+
+
+def test_ranges_that_do_not_decide_are_looked_at(spark):
+    far = [(0, "a", 10.0, 30.0), (1, "b", 10.24, 30.24), (2, "c", 10.7, 30.0 + 0.5)]  # no address of the cell is near in both
+    near = [(0, "a", 10.0, 30.0), (1, "b", 10.24, 30.24), (2, "c", 10.7, 30.7)]
+    for cells, want in ((near, [(0, 1), (0, 2)]), ([(0, "a", 10.0, 30.24), (1, "b", 10.24, 30.0), (2, "c", 10.7, 30.7)], [(0, 1)]), (far, [(0, 1), (0, 2)])):
+        rows = [(i, i // 2, f"{o}/starter", f"https://h/{o}/starter", [("Go", x), ("C", y), ("D", 5.0)], "n", "k") for i, o, x, y in cells]
+        assert sorted(map(tuple, linked_batches(spark.createDataFrame(rows, REPOS)).collect())) == want
+
+
+def test_learned_weights_decide():
+    often, never = {"201": 400, "311": 300, "001": 300, "421": 500}, {"000": 300, "001": 40, "321": 90_000, "311": 4, "421": 500}
+    assert "311" in accepted(learn_weights(often)) and "311" not in accepted(learn_weights(never))
+    assert "001" in accepted(learn_weights(never))
+
+
 # --- problem 6
 
 
