@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.core import query
 from tessera.session import scratch
-from tessera.streaming.incremental import append_once, first_seen, stream_table
+from tessera.streaming.incremental import append_first_seen, append_once, stream_table
 
 
 @query("SELECT judge, count(*) AS n FROM votes GROUP BY judge")
@@ -22,5 +22,5 @@ def stream_resume(spark: SparkSession, d: str) -> DataFrame:
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Names seen for the first time, over a stream of the manifest's files."""
     path = scratch(spark, "stream")
-    append_once(stream_table(spark, d, "repos_test"), f"{path}/out", f"{path}/state", lambda r: first_seen(r.where("name is not null").selectExpr("lower(name) AS name"), ["name"]))
-    return spark.read.schema("name string").parquet(f"{path}/out")
+    append_first_seen(stream_table(spark, d, "repos_test").where("name is not null").selectExpr("lower(name) AS name"), ["name"], f"{path}/out", f"{path}/state")
+    return spark.read.schema("name string, run_part bigint").parquet(f"{path}/out").select("name")

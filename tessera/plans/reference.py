@@ -49,9 +49,9 @@ def run_counters(spark: SparkSession, d: str) -> DataFrame:
 SELECT row_id, CAST(rank AS INTEGER) AS rank, name FROM (
   SELECT row_id, languages[i].name AS name, row_number() OVER (PARTITION BY row_id ORDER BY languages[i].percentage DESC, i) AS rank
   FROM repos_test, unnest(generate_series(1, len(languages))) AS g(i) WHERE languages[i] IS NOT NULL AND languages[i].percentage IS NOT NULL)
-WHERE rank <= 3""")
+WHERE rank <= 5""")
 def top_languages(spark: SparkSession, d: str) -> DataFrame:
-    return M.top_in_array(table(spark, d, "repos_test"), "row_id", "languages", "percentage", 3)
+    return M.top_in_array(table(spark, d, "repos_test"), "row_id", "languages", "percentage", 5)
 
 
 @query("""
@@ -110,51 +110,60 @@ def judge_merge(spark: SparkSession, d: str) -> DataFrame:
     return J.merged_votes(latest(spark, d))
 
 
-@query(f"""WITH {_LATEST}, p AS (SELECT url, judge, CASE WHEN lower(label) NOT IN ('', 'error', 'needs_review', 'needs review') THEN lower(label) END AS label FROM l)
-SELECT url, max(CASE WHEN judge = 'larkspur-70b' THEN coalesce(label, '') END) AS larkspur, max(CASE WHEN judge = 'tamarind-xl' THEN coalesce(label, '') END) AS tamarind FROM p GROUP BY url""")
+_ANSWERS = f"""{_LATEST}, p AS (SELECT url, judge, CASE WHEN lower(label) NOT IN ('', 'error', 'needs_review', 'needs review') THEN lower(label) END AS label FROM l),
+answers AS (SELECT u.url, j.judge, coalesce(p.label, '') AS label FROM (SELECT DISTINCT url FROM l) u CROSS JOIN (SELECT DISTINCT judge FROM l) j LEFT JOIN p ON p.url = u.url AND p.judge = j.judge)"""
+
+
+@query(f"""WITH {_ANSWERS} PIVOT answers ON judge USING max(label) GROUP BY url""")
 def judge_pivot(spark: SparkSession, d: str) -> DataFrame:
-    rows = latest(spark, d).withColumn("label", F.when(J.is_label(F.col("label")), F.lower("label")))
-    one = lambda judge: F.max(F.when(F.col("judge") == judge, F.coalesce("label", F.lit(""))))
-    return rows.groupBy("url").agg(one("larkspur-70b").alias("larkspur"), one("tamarind-xl").alias("tamarind"))
+    """One column for each judge there is."""
+    rows = latest(spark, d)
+    judges = [r.judge for r in rows.select("judge").distinct().orderBy("judge").limit(10_000).collect()]  # columns of one row
+    return J.judge_columns(rows.withColumn("label", F.when(J.is_label(F.col("label")), F.lower("label"))), judges)
 
 
-@query(f"""WITH {_LATEST}, p AS (SELECT url, judge, CASE WHEN lower(label) NOT IN ('', 'error', 'needs_review', 'needs review') THEN lower(label) END AS label FROM l)
-SELECT u.url, j.judge, coalesce(p.label, '') AS label FROM (SELECT DISTINCT url FROM l) u CROSS JOIN (SELECT DISTINCT judge FROM l) j LEFT JOIN p ON p.url = u.url AND p.judge = j.judge""")
+@query(f"WITH {_ANSWERS} SELECT * FROM answers")
 def judge_answers(spark: SparkSession, d: str) -> DataFrame:
     """J4 for all judges, as long rows: each repository x each judge, '' where there is no answer."""
     return J.all_answers(latest(spark, d))
 
 
 @query(f"""WITH {_LATEST}, w AS (SELECT url, judge, lower(label) AS label FROM l WHERE lower(label) NOT IN ('', 'error', 'needs_review', 'needs review'))
-SELECT a.judge AS judge_a, b.judge AS judge_b, count(*) AS n_both, count(*) FILTER (a.label = b.label) AS n_same FROM w a JOIN w b ON a.url = b.url AND a.judge < b.judge GROUP BY 1, 2""")
+SELECT a.judge AS judge_a, b.judge AS judge_b, count(*) AS n_both, count(*) FILTER (a.label = b.label) AS n_same, count(*) FILTER (a.label = b.label) / count(*) AS agreement FROM w a JOIN w b ON a.url = b.url AND a.judge < b.judge GROUP BY 1, 2""")
 def pairwise_agreement(spark: SparkSession, d: str) -> DataFrame:
     return J.pairwise_agreement(latest(spark, d))
 
 
 @query("""
-SELECT CASE WHEN stars >= 10000 THEN '10k+' WHEN stars >= 1000 THEN '1k - 9.9k' WHEN stars >= 100 THEN '100 - 999' WHEN stars >= 10 THEN '10 - 99' WHEN stars >= 0 THEN '< 10' END AS class, count(*) AS n
-FROM repos_test GROUP BY 1""")
+WITH c AS (SELECT CASE WHEN stars >= 10000 THEN '10k+' WHEN stars >= 1000 THEN '1k - 9.9k' WHEN stars >= 100 THEN '100 - 999' WHEN stars >= 10 THEN '10 - 99' WHEN stars >= 0 THEN '< 10' END AS class, count(*) AS n FROM repos_test GROUP BY 1),
+k(class) AS (VALUES ('< 10'), ('10 - 99'), ('100 - 999'), ('1k - 9.9k'), ('10k+'))
+SELECT k.class, coalesce(c.n, 0) AS n, coalesce(c.n, 0) / (SELECT count(*) FROM repos_test) AS share FROM k LEFT JOIN c ON k.class = c.class""")
 def star_classes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "repos_test").groupBy(T.star_class(F.col("stars")).alias("class")).agg(F.count("*").alias("n"))
+    """All classes, also empty ones, with their share of all rows; rows without a class count in the whole only."""
+    rows = table(spark, d, "repos_test")
+    counts = rows.select(T.star_class(F.col("stars")).alias("class")).unionByName(spark.createDataFrame([(name,) for _, name in T.STAR_CLASSES], "class string").withColumn("extra", F.lit(True)), allowMissingColumns=True)
+    by = counts.groupBy("class").agg(F.count_if(F.col("extra").isNull()).alias("n"))
+    return M.with_share(by, "n").where("class is not null")
 
 
-@query("SELECT coalesce(languages[1].name, 'Unknown') AS value, count(*) AS n FROM repos_test GROUP BY 1 ORDER BY n DESC, min(row_id) LIMIT 10")
+@query("SELECT coalesce(languages[1].name, 'Unknown') AS value, count(*) AS n, count(*) / (SELECT count(*) FROM repos_test) AS share FROM repos_test GROUP BY 1 ORDER BY n DESC, min(row_id) LIMIT 10")
 def primary_language_top10(spark: SparkSession, d: str) -> DataFrame:
-    return M.most_common(table(spark, d, "repos_test"), F.coalesce(F.get("languages", 0)["name"], F.lit("Unknown")), "row_id", 10)
+    return M.most_common(table(spark, d, "repos_test"), F.coalesce(F.get("languages", 0)["name"], F.lit("Unknown")), "row_id", 10, table(spark, d, "repos_test"))
 
 
 @query("""
-SELECT name AS value, count(*) AS n FROM (SELECT DISTINCT row_id, x.name AS name FROM (SELECT row_id, unnest(frameworks) AS x FROM repos_test) WHERE x.name IS NOT NULL)
+SELECT name AS value, count(*) AS n, count(*) / (SELECT count(*) FROM repos_test) AS share FROM (SELECT DISTINCT row_id, x.name AS name FROM (SELECT row_id, unnest(frameworks) AS x FROM repos_test) WHERE x.name IS NOT NULL)
 GROUP BY 1 ORDER BY n DESC, min(row_id), name LIMIT 15""")
 def frameworks_top15(spark: SparkSession, d: str) -> DataFrame:
     names = F.filter(F.array_distinct(F.transform("frameworks", lambda x: x["name"])), lambda x: x.isNotNull())
     rows = table(spark, d, "repos_test").select("row_id", F.explode(names).alias("value"))
-    return rows.groupBy("value").agg(F.count("*").alias("n"), F.min("row_id").alias("o")).orderBy(F.desc("n"), "o", "value").limit(15).select("value", "n")
+    top = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("row_id").alias("o")).orderBy(F.desc("n"), "o", "value").limit(15)
+    return top.crossJoin(F.broadcast(table(spark, d, "repos_test").agg(F.count("*").alias("_all")))).select("value", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
-@query("SELECT found_via AS value, count(*) AS n FROM repos_test WHERE found_via IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(row_id) LIMIT 10")
+@query("SELECT found_via AS value, count(*) AS n, count(*) / (SELECT count(*) FROM repos_test) AS share FROM repos_test WHERE found_via IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(row_id) LIMIT 10")
 def found_via_top10(spark: SparkSession, d: str) -> DataFrame:
-    return M.most_common(table(spark, d, "repos_test").where("found_via is not null"), F.col("found_via"), "row_id", 10)
+    return M.most_common(table(spark, d, "repos_test").where("found_via is not null"), F.col("found_via"), "row_id", 10, table(spark, d, "repos_test"))
 
 
 _FLAGS = f"""WITH {_FINDINGS}, g AS (SELECT repo, bool_or(type = 'agent') AS agent, bool_or(type = 'write') AS write, bool_or(type = 'custom_agent') AS custom FROM f GROUP BY repo)"""
@@ -169,22 +178,34 @@ def venn_regions(spark: SparkSession, d: str) -> DataFrame:
     return J.regions(_flags(spark, d), ["agent", "write", "custom"])
 
 
-@query(_FLAGS + """ SELECT 'agent' AS a, 'write' AS b, count(*) FILTER (agent AND write) AS both, count(*) FILTER (agent OR write) AS either FROM g
-UNION ALL SELECT 'agent', 'custom', count(*) FILTER (agent AND custom), count(*) FILTER (agent OR custom) FROM g
-UNION ALL SELECT 'write', 'custom', count(*) FILTER (write AND custom), count(*) FILTER (write OR custom) FROM g""")
+@query(_FLAGS + """ SELECT 'agent' AS a, 'write' AS b, count(*) FILTER (agent AND write) AS both, count(*) FILTER (agent OR write) AS either, coalesce(count(*) FILTER (agent AND write) / nullif(count(*) FILTER (agent OR write), 0), 0.0) AS jaccard FROM g
+UNION ALL SELECT 'agent', 'custom', count(*) FILTER (agent AND custom), count(*) FILTER (agent OR custom), coalesce(count(*) FILTER (agent AND custom) / nullif(count(*) FILTER (agent OR custom), 0), 0.0) FROM g
+UNION ALL SELECT 'write', 'custom', count(*) FILTER (write AND custom), count(*) FILTER (write OR custom), coalesce(count(*) FILTER (write AND custom) / nullif(count(*) FILTER (write OR custom), 0), 0.0) FROM g""")
 def jaccard(spark: SparkSession, d: str) -> DataFrame:
     return J.jaccard(_flags(spark, d), ["agent", "write", "custom"])
 
 
-#: Fixed value: marks of agents in source lines.
-AGENT_MARK = r"\bclass\s+\w+\(Agent\)|@tool\b|\bdef\s+\w*agent\w*\s*\(|\bself\.agents?\s*="
+#: Marks of agents, of tool use and of tool definitions in source lines.
+AGENT_MARK = r"(?i)\bclass\s+\w*Agent\w*\b|\bdef\s+\w*agent\w*\s*\(|(?:^|[^\w.])agents?\s*=|\bself\.agents?\s*=|\bagent_loop\b|\brun_conversation\s*\("
+TOOL_USE_MARK = r"tool_registry|ToolRegistry\(|register_tool\(|get_tool_definitions\(|handle_function_call\(|discover_builtin_tools\("
+TOOL_DEFINITION_MARK = (
+    r"@tool\b|@function_tool\b|@agent\.tool\b|@agent\.tool_plain\b|@mcp\.tool\b|@server\.call_tool\b|@server\.list_tools\b|@controller\.action\b|\bBaseTool\b|\bFunctionTool\s*\(|"
+    r"\bQueryEngineTool\s*\(|\bStructuredTool\.from_function\s*\(|\bnew\s+DynamicStructuredTool\s*\(|\bnew\s+DynamicTool\s*\(|\bcreateTool\s*\(|\buseCopilotAction\s*\(|\bregisterTool\s*\(|"
+    r"\bserver\.tool\s*\(|\bserver\.setRequestHandler\s*\(\s*ListToolsRequestSchema|\bserver\.setRequestHandler\s*\(\s*CallToolRequestSchema"
+)
+MARKS = {"agent_marker": AGENT_MARK, "tool_use": TOOL_USE_MARK, "tool_definition": TOOL_DEFINITION_MARK}
 
 
-@query(rf"""
-SELECT file_id, CAST(i AS INTEGER) AS line, regexp_extract(l[i], '{AGENT_MARK}', 0) AS matched FROM (SELECT file_id, string_split(text, chr(10)) AS l FROM source_files WHERE text IS NOT NULL), unnest(generate_series(1, len(l))) AS g(i)
-WHERE regexp_matches(l[i], '{AGENT_MARK}')""")
+@query(" UNION ALL ".join(f"""
+SELECT file_id, '{kind}' AS kind, CAST(i AS INTEGER) AS line, regexp_extract(l[i], '{mark}', 0) AS matched FROM (SELECT file_id, string_split(text, chr(10)) AS l FROM source_files WHERE text IS NOT NULL), unnest(generate_series(1, len(l))) AS g(i)
+WHERE regexp_matches(l[i], '{mark}')""" for kind, mark in MARKS.items()))
 def line_markers(spark: SparkSession, d: str) -> DataFrame:
-    return S.line_markers(table(spark, d, "source_files"), AGENT_MARK)
+    """The first mark of each family in a line."""
+    out = None
+    for kind, mark in MARKS.items():
+        rows = S.line_markers(table(spark, d, "source_files"), mark).select("file_id", F.lit(kind).alias("kind"), "line", "matched")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(r"""
@@ -202,23 +223,6 @@ def taint_markers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "findings").groupBy(T.first_marker(F.col("line_content")).alias("marker")).agg(F.count("*").alias("n"))
 
 
-_SWEEP = {"calls": r"\w+\(", "decorators": r"(?m)^\s*@\w+", "arrows": "=>"}
-
-
-@query(" UNION ALL ".join(f"SELECT * FROM (SELECT file_id, '{k}' AS label, CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n FROM source_files WHERE text IS NOT NULL) WHERE n > 0" for k, p in _SWEEP.items()))
-def pattern_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return S.pattern_counts(table(spark, d, "source_files"), _SWEEP)
-
-
-_RULES = [("search", ".re"), ("return", ".ret"), ("register", ".regis"), ("any", "."), ("call", "(")]
-
-
-@query(f"""SELECT label, count(*) AS n FROM (SELECT CASE {" ".join(f"WHEN contains(matched, '{p}') THEN '{x}'" for x, p in sorted(_RULES, key=lambda r: (-len(r[1]), r[0])))} END AS label FROM findings) GROUP BY label""")
-def ranked_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "findings")
-    return rows.groupBy(S.ranked_pattern(rows, "matched", _RULES).alias("label")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {_FINDINGS},
 u AS (SELECT DISTINCT repo, file, line, type FROM f WHERE type IN ('read', 'write') AND line IS NOT NULL), s AS (SELECT repo, file, line, min(coalesce(framework, '')) AS framework FROM f WHERE type = 'store' AND line IS NOT NULL GROUP BY ALL),
 b AS (SELECT u.repo, u.file, u.line, u.type, max(s.line) FILTER (s.line <= u.line) AS before, min(s.line) AS first FROM u LEFT JOIN s ON u.repo = s.repo AND u.file = s.file GROUP BY ALL)
@@ -230,48 +234,12 @@ def asof_store(spark: SparkSession, d: str) -> DataFrame:
     return S.as_of(uses, stores, ["repo", "file"], "line", ["framework"])
 
 
-@query(f"""WITH {_FINDINGS}, s AS (SELECT repo, store, count(*) FILTER (type = 'write') AS n_writes, count(*) FILTER (type = 'read') AS n_reads FROM f WHERE store IS NOT NULL AND type IN ('read', 'write') GROUP BY ALL)
-SELECT *, CASE WHEN n_writes > 0 AND n_reads > 0 THEN 'read_write' WHEN n_writes > 0 THEN 'write_only' WHEN n_reads > 0 THEN 'read_only' ELSE 'unused' END AS role FROM s""")
-def store_roles(spark: SparkSession, d: str) -> DataFrame:
-    return S.store_usage(findings(spark, d))
-
-
-@query(f"""WITH {_FINDINGS} SELECT repo, file, name, min(line) AS first_line, nullif(array_to_string(list_sort(list_distinct(flatten(list(coalesce(tool_names, []))))), ','), '') AS tool_names
+@query(f"""WITH {_FINDINGS} SELECT repo, file, name, min(line) AS first_line, min(struct_pack(l := coalesce(line, -1), f := coalesce(framework, ''), m := coalesce(matched, ''))).f AS framework, min(struct_pack(l := coalesce(line, -1), f := coalesce(framework, ''), m := coalesce(matched, ''))).m AS matched, nullif(array_to_string(list_sort(list_distinct(flatten(list(coalesce(tool_names, []))))), ','), '') AS tool_names
 FROM f WHERE type = 'custom_agent' GROUP BY repo, file, name""")
 def custom_agent_groups(spark: SparkSession, d: str) -> DataFrame:
     return S.custom_agents(findings(spark, d))
 
 
-_SUMMARY = f"""WITH {_FINDINGS},
-c AS (SELECT repo, count(*) FILTER (type = 'agent') AS n_agents, count(*) FILTER (type = 'store') AS n_stores, count(*) FILTER (type = 'write') AS n_writes, count(*) FILTER (type = 'read') AS n_reads,
- count(*) FILTER (type = 'tool_definition') AS n_tool_markers, coalesce(bool_or(type = 'write' AND coalesce(unsanitized, false)), false) AS unsanitized_writes, count(*) FILTER (type = 'store') > 0 AS has_rag FROM f GROUP BY repo),
-t AS (SELECT repo, count(DISTINCT tool) AS n_tools FROM (SELECT repo, unnest(CASE WHEN type = 'agent' THEN tools_bound WHEN type = 'custom_agent' THEN tool_names WHEN type = 'confirmed_tool_definition' AND name IS NOT NULL THEN [name] END) AS tool FROM f) WHERE tool IS NOT NULL GROUP BY repo),
-a AS (SELECT repo, count(*) AS n_custom_agents FROM (SELECT DISTINCT repo, file, name FROM f WHERE type = 'custom_agent') GROUP BY repo),
-r AS (SELECT c.*, coalesce(n_tools, 0) AS n_tools, coalesce(n_custom_agents, 0) AS n_custom_agents FROM c LEFT JOIN t USING (repo) LEFT JOIN a USING (repo))"""
-
-
-@query(_SUMMARY + " SELECT * FROM r")
-def repository_summary(spark: SparkSession, d: str) -> DataFrame:
-    return S.repository_summary(findings(spark, d))
-
-
-@query(_SUMMARY + """ SELECT CAST(sum(n_agents) AS BIGINT) AS n_agents, CAST(sum(n_custom_agents) AS BIGINT) AS n_custom_agents, CAST(sum(n_tools) AS BIGINT) AS n_tools, CAST(sum(n_stores) AS BIGINT) AS n_stores,
-count(*) AS n_repos, count(*) FILTER (n_agents > 0) AS with_agent, count(*) FILTER (n_tools > 0) AS with_tool, count(*) FILTER (has_rag) AS with_rag FROM r""")
-def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
-    sums = [F.sum(c).cast("bigint").alias(c) for c in ("n_agents", "n_custom_agents", "n_tools", "n_stores")]
-    return S.repository_summary(findings(spark, d)).agg(*sums, F.count("*").alias("n_repos"), F.count_if(F.col("n_agents") > 0).alias("with_agent"), F.count_if(F.col("n_tools") > 0).alias("with_tool"), F.count_if("has_rag").alias("with_rag"))
-
-
-@query(_SUMMARY + " " + " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS value, count(*) AS n_repos FROM r GROUP BY {c}" for c in ("n_agents", "n_custom_agents", "n_tools", "n_stores")))
-def histograms(spark: SparkSession, d: str) -> DataFrame:
-    return S.histograms(S.repository_summary(findings(spark, d)), ["n_agents", "n_custom_agents", "n_tools", "n_stores"])
-
-
-@query(_SUMMARY + " SELECT repo, n_agents FROM r ORDER BY n_agents DESC, repo LIMIT 20")
-def top_repos(spark: SparkSession, d: str) -> DataFrame:
-    return S.repository_summary(findings(spark, d)).select("repo", "n_agents").orderBy(F.desc("n_agents"), "repo").limit(20)
-
-
 @query(f"""WITH {_FINDINGS}, d AS (SELECT DISTINCT lower(name) AS repo, x.name AS framework FROM (SELECT name, unnest(frameworks) AS x FROM repos_test WHERE name IS NOT NULL) WHERE x.name IS NOT NULL),
 e AS (SELECT DISTINCT repo, framework FROM f WHERE framework IS NOT NULL), j AS (SELECT coalesce(d.repo, e.repo) AS repo, coalesce(d.framework, e.framework) AS framework, d.repo IS NOT NULL AS x, e.repo IS NOT NULL AS y FROM d FULL JOIN e ON d.repo = e.repo AND d.framework = e.framework)
 SELECT repo, coalesce(string_agg(framework, ',' ORDER BY framework) FILTER (x AND y), '') AS agrees, coalesce(string_agg(framework, ',' ORDER BY framework) FILTER (x AND NOT y), '') AS declared_only, coalesce(string_agg(framework, ',' ORDER BY framework) FILTER (y AND NOT x), '') AS detected_only FROM j GROUP BY repo""")
@@ -318,48 +286,11 @@ def suffix_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").groupBy(F.lower("repo").alias("repo"), T.suffix(F.col("path")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query(rf"""SELECT doc_id, length(x) AS n_clean FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<!--(?s:.*?)-->', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[\s*\]\([^)]*\)', '', 'g'), '(?i)</?({T.TAGS})[^>]*>', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS x FROM documents)""")
-def clean_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.length(T.clean_markdown(F.col("text"))).cast("bigint").alias("n_clean"))
-
-
 @query("""SELECT doc_id, CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || chr(10) || '... [truncated]' ELSE text END AS text FROM documents""")
 def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 3000).alias("text"))
 
 
-_SECTIONS = r"""
-l AS (SELECT doc_id, i, replace(x[i], chr(13), '') AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM (SELECT DISTINCT doc_id, text FROM documents)), unnest(generate_series(1, len(x))) AS g(i)),
-c AS (SELECT *, sum(CASE WHEN starts_with(trim(content), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS fenced FROM l),
-h AS (SELECT *, sum(CASE WHEN fenced = 0 AND regexp_matches(content, '^#{1,4} ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM c)"""
-
-
-def _sections(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of documents: a heading outside a fence begins one. The state runs through the row's own line array."""
-    line = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "\r", ""))
-    step = lambda a, x: F.struct(
-        F.when(F.trim(x).startswith("```"), 1 - a["fenced"]).otherwise(a["fenced"]).alias("fenced"),
-        F.when((F.when(F.trim(x).startswith("```"), 1 - a["fenced"]).otherwise(a["fenced"]) == 0) & x.rlike("^#{1,4} "), F.concat(a["sizes"], F.array(F.length(x).cast("bigint") + 1)))
-        .otherwise(F.concat(F.slice(a["sizes"], 1, F.size(a["sizes"]) - 1), F.array(F.element_at(a["sizes"], -1) + F.length(x) + 1))).alias("sizes"),
-    )
-    state = F.aggregate(line, F.struct(F.lit(0).alias("fenced"), F.array(F.lit(0).cast("bigint")).alias("sizes")), step)
-    rows = table(spark, d, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
-    return rows.select("doc_id", F.posexplode(state["sizes"]).alias("section", "size")).where("size > 0 or section > 0")
-
-
-@query(f"WITH {_SECTIONS} SELECT doc_id, CAST(section AS INTEGER) AS section, CAST(sum(length(content) + 1) AS BIGINT) AS size FROM h GROUP BY 1, 2")
-def document_sections(spark: SparkSession, d: str) -> DataFrame:
-    return _sections(spark, d)
-
-
-@query(f"""WITH {_SECTIONS}, s AS (SELECT doc_id, CAST(section AS INTEGER) AS section, CAST(sum(length(content) + 1) AS BIGINT) AS size FROM h GROUP BY 1, 2),
-b AS (SELECT *, 2940 - coalesce(sum(least(size, 1200) + 2) OVER (PARTITION BY doc_id ORDER BY CASE WHEN section = 0 THEN 0 ELSE 1 END, section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_before FROM s)
-SELECT doc_id, section, CAST(left_before AS BIGINT) AS left_before FROM b WHERE left_before > 150""")
-def excerpt_budget(spark: SparkSession, d: str) -> DataFrame:
-    s = _sections(spark, d).withColumn("rank", F.when(F.col("section") == 0, 0).otherwise(1)).withColumn("cost", F.least("size", F.lit(1200)) + 2)
-    return M.running_budget(s, "doc_id", "rank", "section", "cost", 2940, 150).select("doc_id", "section", F.col("left_before").cast("bigint").alias("left_before"))
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT doc_id AS a, b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS b FROM documents WHERE text <> '') WHERE doc_id <> b)
 SELECT a AS node, b AS root FROM e UNION SELECT b, b FROM e""")
@@ -369,12 +300,13 @@ def copy_components(spark: SparkSession, d: str) -> DataFrame:
     return components(docs.join(first, "t").select(F.col("doc_id").alias("a"), "b"))
 
 
-@query(f"""WITH {_FINDINGS} SELECT repo, file, line, type, CAST(row_number() OVER (PARTITION BY repo, file ORDER BY line NULLS LAST, type, name NULLS LAST, framework NULLS LAST, matched NULLS LAST) AS INTEGER) AS place
+@query(f"""WITH {_FINDINGS} SELECT repo, file, line, type, CAST(row_number() OVER (PARTITION BY repo, file ORDER BY line NULLS LAST, list_position(['skill', 'agent', 'store', 'call', 'write', 'read', 'tool_use', 'agent_marker', 'tool_definition', 'confirmed_tool_definition', 'custom_agent'], type) NULLS LAST, name NULLS LAST, framework NULLS LAST, matched NULLS LAST) AS INTEGER) AS place
 FROM (SELECT DISTINCT repo, file, line, type, name, framework, matched FROM f)""")
 def ordered_findings(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    last = [F.asc_nulls_last(c) for c in ("line", "type", "name", "framework", "matched")]
+    kind = F.nullif(F.array_position(F.array(*[F.lit(t) for t in S.TYPES]), F.col("type")), F.lit(0))
+    last = [F.asc_nulls_last(c) for c in ("line", kind, "name", "framework", "matched")]
     rows = findings(spark, d).select("repo", "file", "line", "type", "name", "framework", "matched").distinct()
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("repo", "file").orderBy(*last))).select("repo", "file", "line", "type", "place")
 
@@ -389,9 +321,9 @@ def scanned_repos(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH n AS (SELECT judge, processed_at, url, error IS NOT NULL AS f, row_number() OVER (PARTITION BY judge ORDER BY processed_at, url) AS i FROM votes),
 g AS (SELECT judge, processed_at, i - row_number() OVER (PARTITION BY judge ORDER BY i) AS g FROM n WHERE f)
-SELECT judge, min(processed_at) AS started, count(*) AS n FROM g GROUP BY judge, g HAVING count(*) >= 2""")
+SELECT judge, min(processed_at) AS started, count(*) AS n FROM g GROUP BY judge, g HAVING count(*) >= 3""")
 def failure_runs(spark: SparkSession, d: str) -> DataFrame:
-    return S.failure_runs(table(spark, d, "votes"), "judge", ["processed_at", "url"], F.col("error").isNotNull(), 2)
+    return S.failure_runs(table(spark, d, "votes"), "judge", ["processed_at", "url"], F.col("error").isNotNull(), 3)
 
 
 @query(f"""WITH {_FINDINGS} SELECT repo, 'agent' AS source, tool, count(*) AS n FROM (SELECT repo, unnest(tools_bound) AS tool FROM f WHERE type = 'agent') WHERE tool IS NOT NULL GROUP BY ALL

@@ -28,9 +28,11 @@ def session(app: str = "tessera", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests, local mode) a fresh one is made and set."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only in local mode, where that may be unset, a fresh one is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

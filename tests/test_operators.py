@@ -101,9 +101,15 @@ def test_as_of_falls_back_to_the_first(spark):
     assert got == {"a": (5, "s5"), "b": (7, "s7"), "c": (None, None)}
 
 
-def test_import_links(spark):
-    files = spark.createDataFrame([(1, "R", "a/x.ts", "import { y } from './y';\nexport * from \"./z\"\nimport q from 'q'"), (2, "r", "a/y.js", None), (3, "r", "a/y.ts", ""), (4, "other", "a/z.ts", "")], "file_id int, repo string, path string, text string")
-    assert [(r.file_id, r.target_id) for r in S.import_links(files, (".ts", ".js")).collect()] == [(1, 3)]
+def test_imported_objects(spark):
+    files = spark.createDataFrame([
+        (1, "O/r", "src/use.ts", "import {kb as mine, other} from './store'\nimport {bot} from '../lib/bots'\n"), (2, "O/r", "src/store.ts", "export const kb = 1"), (3, "O/r", "src/store/index.ts", ""), (4, "o/r", "lib/bots/index.js", ""),
+        (5, "O/r", "pkg/app/use.py", "from app.store import kb, other\nfrom .store import kb as again\n"), (6, "O/r", "pkg/app/store.py", "kb = 1"), (7, "O/r", "own.py", "from store import kb\nkb = Other()"), (8, "O/s", "use.py", "from app.store import kb"), (9, "O/r", "x/app/other.py", None),
+    ], "file_id bigint, repo string, path string, text string")
+    made = spark.createDataFrame([(2, "store", "kb", "F"), (4, "agent", "bot", "G"), (6, "store", "kb", "H"), (7, "store", "kb", "I"), (6, "store", "self.kb", "H"), (9, "store", None, "H")], "file_id bigint, kind string, name string, framework string")
+    got = sorted((r.file_id, r.local, r.kind, r.framework, r.made_in) for r in S.imported_objects(files, made).collect())
+    assert got == [(1, "bot", "agent", "G", 4), (1, "mine", "store", "F", 2), (5, "again", "store", "H", 6), (5, "kb", "store", "H", 6)]
+    assert S.imported_objects(files.limit(0), made).count() == 0
 
 
 def test_failure_runs(spark):

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from tessera.plans import core, incremental, reference  # noqa: F401
+from tessera.plans import core, incremental, records, reference, rules, texts  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
