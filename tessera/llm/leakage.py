@@ -1,16 +1,18 @@
 """Held-out passages inside a corpus (problem 7).
 
 Pigeonhole edit matching on words: a window of ``span`` words with at most ``budget`` differing words holds, cut into
-``budget + 1`` pieces, one piece unchanged. All word runs of piece length of the items form the piece index; documents are
-swept for exact piece hits, and each hit is verified by Myers' bit-parallel edit distance over the words of the window.
+``budget + 1`` pieces, one piece unchanged. All word runs of piece length of the items form the piece table. One narrow pass over the documents
+keeps the stretches around words whose run may be a piece; the stretches meet the piece table by equality of hashes, and each stretch and item
+that share a piece are verified by Myers' bit-parallel edit distance over the words of the window.
 What passes is aligned exactly, and counts if the aligned passage begins and ends with matching words, spans
 ``span`` or more words of the item and differs in at most about ``rate`` of them.
 
-The items are the stated query set. They are taken in blocks of ``block_words`` words, so that what a task holds is bounded
-however many items there are; each block is one narrow pass over the documents, which are never shuffled.
+However many items there are, they stay tables: their words, the wording that several of them share (a grouped count) and their pieces are made by
+Spark. What the pass over the documents gets is a Bloom filter of the pieces of at most ``most_bits`` bits; when more pieces than it is made for go in, more
+stretches come out and meet no piece, but none is lost. Texts are read once and never shuffled, only stretches that may hold something are.
 
 Words are runs of letters and digits after undoing escapes, entities, tags and compatibility forms, in lower case. Wording
-that stands in several items (runs of ``common`` words or more) is taken out of the items first.
+that stands in several items (runs of ``common`` words or more) is not an item's own and does not count.
 
 Defined results: null and empty texts and items match nothing; each pair of ids is given once, however often a row or a
 passage is repeated; items shorter than ``span`` words match nothing; extra columns are ignored.
@@ -21,16 +23,16 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 _WORD = re.compile(r"[^\W_]+")
 _CODE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|%([2-7][0-9a-fA-F])")
 _SLASH = re.compile(r"\\+[nrtbf](?![a-z]:)|\\+")
@@ -54,49 +56,31 @@ def plain_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-@dataclass
-class Items:
-    """A block of items ready for search: words as numbers, and where each piece stands."""
+class WordNumbers(dict):
+    """64-bit numbers of words; what is remembered is bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        return got
 
-    vocabulary: dict[str, int]
-    words: dict[int, np.ndarray]
-    known: dict[int, np.ndarray]  # an item's different words, sorted
-    own: dict[int, np.ndarray]  # whether a word's place is the item's own wording
-    keys: np.ndarray  # sorted piece hashes
-    places: list[list[tuple[int, int]]]
-    piece: int
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of ``n`` words; numbers below 0 are unknown words."""
+def run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` words."""
     if len(ids) < n:
         return np.empty(0, np.uint64)
     out = np.zeros(len(ids) - n + 1, np.uint64)
-    x = ids.astype(np.uint64) + np.uint64(1)
     for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + x[i : len(ids) - n + 1 + i]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(ids) - n + 1 + i]
         out ^= out >> np.uint64(29)
     return out
 
 
-def prepare(rows: list[tuple[int, list[str]]], shared: set[tuple[str, ...]], common: int, piece: int) -> Items:
-    vocabulary: dict[str, int] = {}
-    words, own, index = {}, {}, defaultdict(list)
-    for item, ws in rows:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64)
-        mine = np.ones(len(ws), bool)
-        for i in range(len(ws) - common + 1):
-            if tuple(ws[i : i + common]) in shared:
-                mine[i : i + common] = False
-        words[item], own[item] = ids, mine
-        for p, h in enumerate(_hashes(ids, piece)):
-            if mine[p : p + piece].all():
-                index[int(h)].append((item, p))
-    keys = np.array(sorted(index), np.uint64)
-    return Items(vocabulary, words, {i: np.unique(w) for i, w in words.items()}, own, keys, [index[int(k)] for k in keys], piece)
-
-
-def myers(pattern: list[int], text: list[int]) -> int:
+def myers(pattern: list, text: list) -> int:
     """The least edit distance of ``pattern`` to any stretch of ``text``: Myers' bit vectors with words as symbols."""
     m = len(pattern)
     masks: dict[int, int] = {}
@@ -160,99 +144,136 @@ def aligned(item: np.ndarray, own: np.ndarray, text: np.ndarray, rate: float) ->
     return best
 
 
-def search(ids: np.ndarray, items: Items, span: int, budget: int, rate: float) -> list[int]:
-    """The items that leaked into one document, given as word numbers (-1: a word of no item)."""
-    h = _hashes(ids, items.piece)
-    if not len(h) or not len(items.keys):
-        return []
-    at = np.searchsorted(items.keys, h)
-    at[at == len(items.keys)] = 0
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for d in np.flatnonzero(items.keys[at] == h):
-        for item, p in items.places[at[d]]:
-            if (ids[d : d + items.piece] == items.words[item][p : p + items.piece]).all():
-                hits[item].append((p, int(d)))
-    found = []
+def holds(ids: np.ndarray, words: np.ndarray, own: np.ndarray, span: int, budget: int, rate: float) -> bool:
+    """Whether a stretch of a document, as word numbers, holds a passage of the item ``words``."""
+    piece = span // (budget + 1)
+    runs, mine = run_hashes(ids, piece), run_hashes(words, piece)
+    order = np.argsort(mine, kind="stable")
+    left, right = np.searchsorted(mine[order], runs), np.searchsorted(mine[order], runs, side="right")
+    known = np.isin(ids, words)
+    near_known = np.concatenate([[0], np.cumsum(known)])
     reach = span + budget
-    for item, places in hits.items():
-        words, own = items.words[item], items.own[item]
-        known = items.known[item]
-        tried: set[tuple[int, int]] = set()
-        done = -1
-        for p, d in places:
-            if d < done:
-                continue
-            around = ids[max(0, d - reach) : d + items.piece + reach]
-            if np.isin(around, known).sum() < span - budget:  # a window within the budget leaves at least so many of the item's words
-                continue
-            for s in range(max(0, p + items.piece - span), min(p, len(words) - span) + 1):
-                if not own[s : s + span].all() or (s, d - p) in tried:
+    tried: set[tuple[int, int]] = set()
+    aligned_at: dict[int, int] = {}  # on each diagonal, the last window that was aligned
+    for d in np.flatnonzero(right > left).tolist():
+        # a window within the budget leaves at least so many of the item's words
+        if near_known[min(len(ids), d + piece + reach)] - near_known[max(0, d - reach)] < span - budget:
+            continue
+        for p in order[left[d] : right[d]].tolist():
+            for s in range(max(0, p + piece - span), min(p, len(words) - span) + 1):
+                if (s, d - p) in tried or not own[s : s + span].all():
                     continue
                 tried.add((s, d - p))
+                if d - p in aligned_at and s - aligned_at[d - p] <= span // 2:
+                    continue
                 a = d - (p - s)
                 if myers(words[s : s + span].tolist(), ids[max(0, a - budget) : a + span + budget].tolist()) > budget:
                     continue
-                near = slice(max(0, s - span // 2), s + span + span // 2)  # enough of the item to reach ``span`` words between matching ends
-                length, _ = aligned(words[near], own[near], ids[max(0, a - span // 2 - 2 * budget) : a + span + span // 2 + 2 * budget], rate)
-                done = d + span
+                aligned_at[d - p] = s
+                part = slice(max(0, s - span), s + 2 * span)  # holds every passage of ``span`` words that meets this window, and those of the next windows
+                length, _ = aligned(words[part], own[part], ids[max(0, a - span - 2 * budget) : max(0, a) + 2 * span + 2 * budget], rate)
                 if length >= span:
-                    found.append(item)
-                break
-            if found and found[-1] == item:
-                break
-    return found
-
-
-def item_blocks(items: DataFrame, block_words: int, max_items: int) -> Iterator[list[tuple[int, str]]]:
-    rows, size = [], 0
-    for r in items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates().orderBy("item_id").limit(max_items + 1).toLocalIterator():
-        rows.append((r.item_id, r.text))
-        size += len(r.text) // 6
-        if size >= block_words:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
-
-
-def shared_wording(items: DataFrame, common: int) -> set[tuple[str, ...]]:
-    """Runs of ``common`` words that stand in items of different text."""
-    seen: dict[tuple[str, ...], int] = {}
-    out = set()
-    for r in items.select("text").where("text is not null").distinct().toLocalIterator():
-        ws = plain_words(r.text)
-        for g in {tuple(ws[i : i + common]) for i in range(len(ws) - common + 1)}:
-            seen[g] = seen.get(g, 0) + 1
-            if seen[g] == 2:
-                out.add(g)
-    return out
+                    return True
+    return False
+
+
+def item_words(items: DataFrame, span: int, common: int, piece: int) -> DataFrame:
+    """``item_id, ids, own, pieces``: an item's words as numbers, which of them are its own wording, and the hashes of its own pieces."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = WordNumbers()
+        for b in batches:
+            ids = [numbers.of(plain_words(t)).view(np.int64) for t in b["text"]]
+            yield pd.DataFrame({"item_id": b["item_id"], "ids": pd.Series([x.tolist() for x in ids], dtype="object")})
+
+    plain = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    numbered = cut(plain.mapInPandas(number, "item_id bigint, ids array<bigint>").where(F.size("ids") >= span))
+    slices = F.transform(F.sequence(F.lit(1), F.size("ids") - common + 1), lambda i: F.xxhash64(F.slice("ids", i, common)))
+    runs = numbered.select(F.xxhash64("ids").alias("item"), F.posexplode(slices).alias("at", "run"))
+    several = runs.groupBy("run").agg(F.min("item").alias("least"), F.max("item").alias("most")).where("least <> most").select("run")
+    shared = runs.join(several, "run").groupBy("item").agg(F.collect_set("at").alias("shared"))  # as many as the item has words at most
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own, pieces = [], []
+            for ids, at in zip(b["ids"], b["shared"]):
+                mine = np.ones(len(ids), bool)
+                for i in at if at is not None else ():
+                    mine[i : i + common] = False
+                whole = np.convolve(mine, np.ones(piece, int), "valid") == piece
+                own.append(mine.tolist())
+                pieces.append(np.unique(run_hashes(np.asarray(ids, np.int64).view(np.uint64), piece)[whole]).view(np.int64).tolist())
+            yield pd.DataFrame({"item_id": b["item_id"], "ids": b["ids"], "own": pd.Series(own, dtype="object"), "pieces": pd.Series(pieces, dtype="object")})
+
+    return numbered.withColumn("item", F.xxhash64("ids")).join(shared, "item", "left").select("item_id", "ids", "shared").mapInPandas(told, "item_id bigint, ids array<bigint>, own array<boolean>, pieces array<bigint>")
+
+
+_PROBES = 4
+
+
+def piece_filter(pieces: DataFrame, most_bits: int) -> np.ndarray:
+    """A Bloom filter of ``pieces (piece)`` as 64-bit words: 64 bits for each piece up to ``most_bits``, whose words are all that the driver gets."""
+    n = pieces.count()
+    bits = 1 << min(max(10, (64 * n).bit_length()), most_bits.bit_length() - 1)
+    spots = F.explode(F.array(*[F.expr(f"((piece & 4294967295L) + {i}L * (shiftrightunsigned(piece, 32) | 1L)) % {bits}L") for i in range(_PROBES)]))
+    words = pieces.select(spots.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(runs: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The places of ``runs`` that the filter lets through."""
+    at = np.arange(len(runs))
+    low, high, n = runs & np.uint64(0xFFFFFFFF), (runs >> np.uint64(32)) | np.uint64(1), np.uint64(len(bits) * 64)
+    for i in range(_PROBES):
+        spot = (low[at] + np.uint64(i) * high[at]) % n
+        at = at[(bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1]
+    return at
+
+
+def stretches(documents: DataFrame, bits: np.ndarray, span: int, budget: int) -> DataFrame:
+    """``doc_id, ids, hits``: the stretches of documents around runs that may be pieces, as word numbers, with those runs' hashes."""
+    piece, around = span // (budget + 1), 2 * (span + budget)
+    ready = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, numbers = ready.value, WordNumbers()
+        for b in batches:
+            docs, ids, hits = [], [], []
+            for doc, text in zip(b["doc_id"], b["text"]):
+                words = plain_words(text)
+                if len(words) < span - budget:
+                    continue
+                x = numbers.of(words)
+                runs = run_hashes(x, piece)
+                at = may_hold(runs, bits)
+                if not len(at):
+                    continue
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * around) + 1):
+                    docs.append(doc)
+                    ids.append(x[max(0, part[0] - around) : part[-1] + piece + around].view(np.int64).tolist())
+                    hits.append(np.unique(runs[part]).view(np.int64).tolist())
+            yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "ids": pd.Series(ids, dtype="object"), "hits": pd.Series(hits, dtype="object")})
+
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(sweep, "doc_id bigint, ids array<bigint>, hits array<bigint>")
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, span: int = 25, budget: int = 3, rate: float = 0.14, common: int = 8, block_words: int = 2_000_000, max_items: int = 1_000_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, span: int = 25, budget: int = 3, rate: float = 0.14, common: int = 8, most_bits: int = 1 << 28) -> DataFrame:
     """``doc_id, item_id`` of every document that holds a passage of an item; see the module's text."""
     piece = span // (budget + 1)
-    shared = shared_wording(items, common)
-    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    out = None
-    for block in item_blocks(items, block_words, max_items):
-        ready = documents.sparkSession.sparkContext.broadcast(prepare([(i, plain_words(t)) for i, t in block], shared, common, piece))
-
-        def sweep(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
-            have = ready.value
-            number = have.vocabulary.get
-            for b in batches:
-                docs, found = [], []
-                for doc, text in zip(b["doc_id"], b["text"]):
-                    words = plain_words(text)
-                    if len(words) < span - budget:
-                        continue
-                    for item in search(np.fromiter(map(number, words, repeat(-1)), np.int64, len(words)), have, span, budget, rate):
-                        docs.append(doc)
-                        found.append(item)
-                yield pd.DataFrame({"doc_id": pd.Series(docs, dtype="int64"), "item_id": pd.Series(found, dtype="int64")})
-
-        part = texts.mapInPandas(sweep, "doc_id bigint, item_id bigint")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
-    return out.distinct()
+    asked = cut(item_words(items, span, common, piece))
+    pieces = asked.select("item_id", F.explode("pieces").alias("piece"))
+    found = cut(stretches(documents, piece_filter(pieces.select("piece").distinct(), most_bits), span, budget).withColumn("stretch", F.xxhash64("doc_id", "ids")))
+    pairs = found.select("stretch", F.explode("hits").alias("piece")).join(pieces, "piece").select("stretch", "item_id").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = [
+                holds(np.asarray(x, np.int64).view(np.uint64), np.asarray(w, np.int64).view(np.uint64), np.asarray(o, bool), span, budget, rate)
+                for x, w, o in zip(b["ids"], b["words"], b["own"])
+            ]
+            yield b.loc[keep, ["doc_id", "item_id"]]
+
+    met = pairs.join(found.select("stretch", "doc_id", "ids"), "stretch").join(asked.select("item_id", F.col("ids").alias("words"), "own"), "item_id")
+    return met.select("doc_id", "item_id", "ids", "words", "own").mapInPandas(verify, "doc_id bigint, item_id bigint").distinct()

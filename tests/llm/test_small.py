@@ -78,13 +78,13 @@ def test_leaks_found_through_changes(spark):
     assert leaked_items(d, i.limit(0)).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark):
+def test_a_crowded_filter_loses_nothing(spark):
     rng = random.Random(3)
     items = [(k, " ".join(f"a{rng.randrange(400)}" for _ in range(60)), "x") for k in range(20)]
     docs = [(k, " ".join(items[k % 20][1].split()[k % 7 : k % 7 + 20 + k % 12]), 0, "k") for k in range(60)]
     d, i = leak_tables(spark, docs, items)
     whole = sorted(map(tuple, leaked_items(d, i).collect()))
-    assert whole == sorted(map(tuple, leaked_items(d, i, block_words=100).collect()))
+    assert whole == sorted(map(tuple, leaked_items(d, i, most_bits=1024).collect()))
     assert whole == sorted((k, k % 20) for k in range(60) if 20 + k % 12 >= 25)
 
 
