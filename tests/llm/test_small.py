@@ -52,6 +52,26 @@ def test_consensus_uses_what_bad_judges_do(spark):
     assert sum(got[u] == t for u, t in truth.items()) > 370
 
 
+def test_features_decide_where_votes_are_few(spark):
+    rng = random.Random(9)
+    votes, truth = [], {}
+    for i in range(600):
+        true = rng.choice(LABELS[:2])
+        url = f"https://h/o{i}/thing-{'kit' if true == LABELS[0] else 'list'}{i}-{'kit' if true == LABELS[0] else 'list'}"
+        truth[url] = true
+        for j in range(3):
+            votes.append((f"j{j}", url, true if rng.random() < 0.6 else rng.choice(LABELS[:2]), "a plain reason", None, T0, "x", 1))
+    rows = spark.createDataFrame(votes, VOTES)
+    right = {w: sum(truth[r.url] == r.classification for r in consensus(rows, width=w).items.collect()) for w in (0, 256)}
+    assert right[256] > 555 and right[256] > right[0] + 20
+
+
+def test_many_judges(spark):
+    votes = [vote(f"j{i % 2500}", f"https://h/o/r{i // 5}", LABELS[(i // 5) % 3] if i % 7 else LABELS[3]) for i in range(7_500)]
+    got = {r.url: r.classification for r in consensus(spark.createDataFrame(votes, VOTES)).items.collect()}
+    assert len(got) == 1500 and sum(got[f"https://h/o/r{i}"] == LABELS[i % 3] for i in range(1500)) > 1450
+
+
 # --- problem 7
 
 
