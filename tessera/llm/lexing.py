@@ -96,7 +96,7 @@ def _f_string(text: str, i: int, quote: str, raw: bool) -> int:
                 depth.pop()
         elif c == ":" and not depth[-1] and not text.startswith(":=", i):
             depth[-1] = -1
-        elif c == "#" or (c == "\\" and 0):
+        elif c == "#":
             return -1
         i += 1
     return -1
@@ -124,8 +124,6 @@ def python_lines(text: str) -> tuple[list[tuple[str, ...]], list[int]]:
                 i = text.find("\n", i) + 1 or n
                 number += 1
                 continue
-            if text.startswith("\\\n", i) and 0:
-                pass
             wide, narrow = len(head.expandtabs(8)), len(head.expandtabs(1))
             began = number
             if wide > indents[-1][0]:
@@ -224,8 +222,8 @@ JS_WORDS = frozenset(
 )
 _JS_SPACE = re.compile(r"(?:[ \t\v\f\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff]+|//[^\n]*)*")
 _JS = re.compile(
-    r"""(?P<name>\#?(?:[$_A-Za-z]|[^\x00-\x7f\s]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[$\w]|[^\x00-\x7f\s]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
-  | (?P<number>0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:[0-9](?:_?[0-9])*(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?n?)
+    r"""(?P<name>\#?(?:[$_]|[^\W\d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[$\w\u200c\u200d\u00b7\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0903\u093a-\u094f]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
+  | (?P<number>0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|[0-9](?:_?[0-9])*n|(?:[0-9](?:_?[0-9])*(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)
   | (?P<string>"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')
   | (?P<tick>`)
   | (?P<op>\.\.\.|=>|===|!==|==|!=|\*\*=|\*\*|\+\+|--|<<=|<<|>=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?![0-9])|<=|[-+*%&|^/]=|[-+*/%&|^!~?:;,.(){}\[\]<>=@])""",
@@ -245,6 +243,39 @@ _BEFORE_PAREN = frozenset("if while for with".split())
 LINE = 24
 
 
+#: An escape of a string or template that is no character.
+_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{0*(?:[0-9a-fA-F]{1,5}|10[0-9a-fA-F]{4})\}))")
+_REGEX_PART = re.compile(r"\\.|\[(?:[^\]\\]|\\.)*\]|\((?:\?(?:[:=!]|<[=!]|<[A-Za-z_$][\w$]*>))?|\)|[*+?]\??|\{\d+(?:,\d*)?\}\??|.", re.S)
+
+
+def regex_is_whole(body: str) -> bool:
+    """Whether groups are closed and every quantifier has something to repeat."""
+    depth, bare = 0, True  # bare: there is nothing to repeat
+    opened: list[bool] = []
+    for m in _REGEX_PART.finditer(body):
+        part = m[0]
+        if part[0] == "(":
+            if part == "(" and body.startswith("(?", m.start()):
+                return False
+            depth, bare = depth + 1, True
+            opened.append(part.startswith("(?<") and part[3:4] in ("=", "!"))
+        elif part == ")":
+            depth -= 1
+            if depth < 0:
+                return False
+            bare = opened.pop()  # what looks behind cannot be repeated
+        elif part[0] in "*+?" or (part[0] == "{" and len(part) > 1):
+            if bare:
+                return False
+            bounds = re.findall(r"\d+", part)
+            if len(bounds) == 2 and int(bounds[0]) > int(bounds[1]):
+                return False
+            bare = True
+        else:
+            bare = part in ("|", "^") or part in ("\\b", "\\B")
+    return depth == 0
+
+
 class _Script:
     """One text's tokens; ``emit`` starts a new line of kinds where the text has one."""
 
@@ -292,13 +323,15 @@ class _Script:
             else:
                 return i
 
-    def template(self, i: int, depth: int) -> int:
-        """From behind the tick."""
+    def template(self, i: int, depth: int, tagged: bool) -> int:
+        """From behind the tick. A tag may make sense of any escape."""
         started = False
         while True:
             m = _TEMPLATE.match(self.text, i)
             if not m:
                 return self.fail()
+            if not tagged and "\\" in m[0] and _BAD_ESCAPE.search(m[0]):
+                return self.fail()
             ends = m[1] == "`"
             self.emit(("TEND" if ends else "TMID") if started else ("TEMPLATE" if ends else "TSTART"))
             self.number += m[0].count("\n")
@@ -342,7 +375,7 @@ class _Script:
                     self.number += s[0].count("\n")
                     i = s.end()
                 elif text[i : i + 1] == "<":
-                    i = self.element(i, depth + 1) if depth < 100 else self.fail()
+                    i = self.element(i, depth + 1)
                 elif text[i : i + 1] != "{":
                     return self.fail()
             elif c == "{":
@@ -374,7 +407,7 @@ class _Script:
             elif c == "<":
                 close = re.compile(r"<\s*/\s*").match(text, i)
                 if not close:
-                    i = self.element(i, depth + 1) if depth < 100 else self.fail()
+                    i = self.element(i, depth + 1)
                     continue
                 self.emit("J</")
                 i = close.end()
@@ -395,8 +428,6 @@ class _Script:
 
     def run(self, i: int, depth: int) -> int:
         """Tokens up to the end, or in an embedded expression up to its closing brace, which is taken."""
-        if depth > 100:
-            return self.fail()
         text, n = self.text, len(self.text)
         brackets: list[tuple[str, bool]] = []  # and whether an operand is complete behind the closing one
         whole = False
@@ -409,7 +440,7 @@ class _Script:
             c = text[i]
             if c == "/" and not whole:
                 m = _REGEX.match(text, i)
-                if not m or not _FLAGS.search(m[0][m[0].rfind("/") :]):
+                if not m or not _FLAGS.search(m[0][m[0].rfind("/") :]) or not regex_is_whole(m[0][1 : m[0].rfind("/")]):
                     return self.fail()
                 self.emit("REGEX")
                 i, whole = m.end(), True
@@ -434,11 +465,13 @@ class _Script:
                 self.emit("NUMBER")
                 whole = True
             elif group == "string":
+                if "\\" in word and _BAD_ESCAPE.search(word):
+                    return self.fail()
                 self.emit("STRING")
                 self.number += word.count("\n")
                 whole = True
             elif group == "tick":
-                i = self.template(i, depth)
+                i = self.template(i, depth, whole)
                 whole = True
             else:
                 if word in "([{":

@@ -12,7 +12,7 @@ from tessera.llm.leakage import leaked_items
 from tessera.llm.linkage import linked_batches
 from tessera.llm.packing import fill_report, packed
 from tessera.llm.stuffing import stuffed_documents
-from tessera.llm.syntax import invalid_files, invalid_rates
+from tessera.llm.syntax import first_errors, invalid_files, invalid_rates
 from tessera.session import ship
 from tessera.sources.tables import table
 
@@ -44,6 +44,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return invalid_files(table(spark, d, "source_files"))
 
 
+@query
+def p2_errors(spark: SparkSession, d: str) -> DataFrame:
+    return first_errors(table(spark, d, "source_files"))
+
+
 @query
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return invalid_rates(table(spark, d, "source_files"), table(spark, d, "file_results"))

@@ -2,8 +2,7 @@
 
 Each text is read by the lexer of its suffix's language and its whole token stream is run through generalised LR tables made from
 the bundled grammars (``grammars/``). The first token at which no parse goes on is the file's first unrecoverable error. Text of
-``.js`` files is tried as a module and as CommonJS. What the tables reject in Python files is confirmed by the interpreter's own
-parser, when that speaks the same version.
+``.js`` files is tried as a module and as CommonJS. Nesting may be of any depth.
 
 The tables are made once on the driver and sent to the tasks (under 1 MB, they depend on the grammars only); a task keeps what it
 remembers of line forms within a bound. Files are independent: one narrow pass, no shuffle; the rates are one grouped count.
@@ -14,10 +13,7 @@ Defined results: null texts and suffixes of other languages give no row; empty t
 
 from __future__ import annotations
 
-import ast
-import re
 import sys
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,21 +62,9 @@ class Parser:
             if at is None:
                 return None
             worst = max(worst, at)
-        if suffix == "py" and sys.version_info[:2] == (3, 13) and _parses(text):
-            return None
         return numbers[worst[0]], lines[worst[0]][worst[1]]
 
 
-def _parses(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("﻿"))
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-
-
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
 
@@ -92,6 +76,7 @@ def parsed_files(files: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = Parser(made.value)
+        sys.setrecursionlimit(1_000_000)  # nested templates and elements are read by functions that call one another; their frames are on the heap
         for b in batches:
             errors = [parser.error(s, t) for s, t in zip(b["suffix"], b["text"])]
             yield pd.DataFrame({
@@ -124,3 +109,8 @@ def invalid_rates(files: DataFrame, results: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_files"), F.count_if("invalid").alias("n_invalid"))
         .withColumn("rate", F.col("n_invalid") / F.col("n_files"))
     )
+
+
+def first_errors(files: DataFrame) -> DataFrame:
+    """``file_id, suffix, line, token``: the first unrecoverable error of each file that does not parse."""
+    return parsed_files(files).where("invalid").select("file_id", "suffix", "line", "token")

@@ -150,6 +150,7 @@ def test_blocks_lose_nothing():
 GOOD = {
     "a.py": ["", "x = 1\n", "def f(a, /, b=1, *, c, **k) -> int:\n    return f'{a!r:>{b}}' if (n := b) else [*c]\n", "match x:\n    case {'a': [1, *_], **r} if r: pass\n", "async def f():\n\tasync with a as b, c: await d\n", "type A[T] = list[T]\n", "print(*a, sep='')\nlambda *a, b=1: (yield)\n"],
     "b.js": ["import x from 'y'\nexport default () => ({a: 1})\n", "const {a = 1, ...b} = require('c')\nreturn a\n", "let r = /[/\"]/g.test(`x${`${1}`}`) / 2\n", "a\n++b\n", "for await (const x of y) z?.[0]?.(x)\n", "class A { #p = 1; static { } get x() { return this.#p } async *g() {} }\n", "label: for (;;) { if (a) break label\n else continue }\n"],
+    "g.js": ["({a = 1} = b)\n", "for ({a = 1} of b) c\n", "const f = ({a = 1}, [b = 2]) => a\n", "x = [a, {b: [c] = d}]\n;[a.b, c[d]] = e\n", "/(?<y>a|b)+(?=c)[)*]{2,3}?\\(/u.test(x)\n", "x = '\\u{1F600}\\x41\\u0041\\\\u'\n", "tag`\\unicode`\n", "yield = 1\n", "let é1 = 10n + 1_000\n", "if (a) b\nelse { const c = 1 }\n", "x = " + "[" * 3000 + "]" * 3000 + "\n", "x = " + "`${" * 300 + "1" + "}`" * 300 + "\n"],
     "c.ts": ["type A<T> = T extends (infer U)[] ? U : never;\ninterface I { a?: string; b(): void\n [k: string]: any }\n", "const f = <T,>(x: T): x is T => x as unknown as T\nlet a = b<c>(d)\n", "abstract class A<T> extends B<T> implements C { private readonly x!: number; constructor(public y: string) { super() } }\nenum E { A = 1, B }\ndeclare module 'x' { export const y: number }\n"],
     "d.tsx": ["export const A = ({x}: {x: any[]}) => <div className=\"a\" {...x}>{x.map((y) => (<B key={y} c={`d ${y}`} />))} text</div>;\n"],
     "e.cjs": ["module.exports = { a, b() { return 1 } }\nif (x) return\n"],
@@ -157,6 +158,8 @@ GOOD = {
 BAD = {
     "a.py": ["print 'x'\n", "def f(:\n", "if x:\npass\n", "  x = 1\n", "x = (1\n", "x = 'a\n", "<<<<<<< HEAD\n", "f() = 1\n", "f(a=1, 2)\n", "0123\n", "x = {{ y }}z\n", "try:\n    a\n"],
     "b.js": ["let x = ;\n", "{\"a\": 1, \"b\": 2}\n", "let x: number = 1\n", "const a = <div/>\n", "if (a {\n}\n", "f() = 1\n", "import x from 'y'\nreturn x\n", "'abc\n", "<<<<<<< HEAD\n", "const a\n", "x = `a ${b\n", "}\n"],
+    "g.js": ["({a = 1})\n", "/(/\n", "/a)/\n", "/+a/\n", "/a{3,2}/\n", "'\\u{zz}'\n", "'\\x4'\n", "`\\u12`\n", "const a = “b”;\n", "if (a) const b = 1\n", "while (a) let b\n", "x = 1.5n\n", "x = `${`${`\n"],
+    "h.mjs": ["yield = 1\n", "if (a) function f() {}\n"],
     "c.ts": ["const a = <div className=\"x\">y</div>;\n", "interface { }\n", "let x: = 1\n"],
     "d.tsx": ["const a = <b><c></b>;\n", "const a = <b\n"],
     "e.cjs": ["import x from 'y'\n"],
