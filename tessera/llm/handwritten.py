@@ -1,7 +1,7 @@
 """Generated, minified, vendored and data files among source files (problem 1).
 
 Three linear support-vector classifiers look at a file: at its body (hashed character n-grams, with the head comment masked, so
-that giveaway headers are not what it learns), at its head comment (hashed character n-grams), and at its path (path
+that giveaway headers are not what it learns), at its head comment (hashed character n-grams, with the giveaway words masked), and at its path (path
 components and their n-grams). They are fitted on a bounded sample of rows labelled by what is already known - the older
 scanner's ``skipped_reason``, plain giveaways in head comments and well-known path parts - and each view's threshold is set on repositories that
 its fit never saw. A second fit takes over what the first one found, so that the labels' gaps count less as negatives. Reasons, which may be
@@ -71,7 +71,8 @@ def body_features(body: str) -> np.ndarray:
 
 
 def head_features(head: str) -> np.ndarray:
-    raw = _NUMBER.sub("0", " ".join(head.lower().split())).encode("utf-8", "replace")
+    """Which buckets the head comment's 3- and 5-grams fall into; the words that label it are masked, so that only the rest can be learnt."""
+    raw = _NUMBER.sub("0", " ".join(_GIVEAWAY.sub(" ", head).lower().split())).encode("utf-8", "replace")
     return np.unique(np.concatenate([_ngrams(raw, n, n) for n in (3, 5)])).astype(np.int64)
 
 
@@ -152,27 +153,30 @@ def labelled(files: DataFrame, results: DataFrame) -> DataFrame:
 def fit_views(rows: DataFrame, sample: int = 12_000, held_out: int = 5) -> dict[str, Linear]:
     """Fits the views on about ``sample`` rows, drawn by a hash of the id; that bound is a parameter. One task fits each view.
 
+    A narrow pass makes the features; only the numbers of a view's buckets go on to its task (at most 128 KB for a file of any length), no texts.
     Repositories whose hash falls in one of ``held_out`` parts are kept for the thresholds, which are set in the valley of the kept
     rows' scores: labels are incomplete, so that they cannot measure precision.
     """
     share = sample / max(1, rows.count())
-    drawn = rows.where(F.pmod(F.xxhash64("file_id"), F.lit(1_000_003)) < share * 1_000_003).select("repo", "path", "text", "reason") if share < 1 else rows.select("repo", "path", "text", "reason")
-    views = F.explode(F.array(*[F.lit(v) for v in VIEWS])).alias("view")
+    drawn = rows.where(F.pmod(F.xxhash64("file_id"), F.lit(1_000_003)) < share * 1_000_003) if share < 1 else rows
+
+    def views(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for repo, path, text, reason in zip(b["repo"], b["path"], b["text"], b["reason"]):
+                head, body = split_head(text)
+                told = bool(_GIVEAWAY.search(head) or _PATH_PART.search(path))
+                apart = zlib.crc32(repo.lower().encode()) % held_out == 0
+                order = f"{repo}\n{path}"
+                for view, x, y in (("body", body_features(body), told or bool(reason) or is_data(body)), ("head", head_features(head), told), ("path", path_features(path), told)):
+                    out.append((view, order, apart, y, x.astype(np.uint16).tobytes()))
+            yield pd.DataFrame(out, columns=["view", "at", "apart", "told", "buckets"])
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         view = rows["view"].iloc[0]
-        rows = rows.sort_values(["repo", "path"])
-        parts = [split_head(t) for t in rows["text"]]
-        heads = np.array([bool(_GIVEAWAY.search(h)) for h, _ in parts], bool)
-        paths = np.array([bool(_PATH_PART.search(p)) for p in rows["path"]], bool)
-        told = heads | paths
-        if view == "body":
-            told |= rows["reason"].to_numpy(bool) | np.array([is_data(body) for _, body in parts], bool)
-            x = [body_features(body) for _, body in parts]
-        else:
-            x = [head_features(h) for h, _ in parts] if view == "head" else [path_features(p) for p in rows["path"]]
-        y = np.where(told, 1, -1)
-        apart = np.array([zlib.crc32(r.lower().encode()) % held_out == 0 for r in rows["repo"]])
+        rows = rows.sort_values("at")
+        x = [np.frombuffer(v, np.uint16).astype(np.int64) for v in rows["buckets"]]
+        y, apart = np.where(rows["told"].to_numpy(bool), 1, -1), rows["apart"].to_numpy(bool)
         if not (y[~apart] > 0).any() or not (y[~apart] < 0).any() or not apart.any():
             return pd.DataFrame({"view": [view], "weights": [np.zeros(WIDTH, np.float32).tobytes()], "bias": [0.0], "threshold": [float("inf")]})
         keep = np.flatnonzero(~apart)
@@ -184,7 +188,8 @@ def fit_views(rows: DataFrame, sample: int = 12_000, held_out: int = 5) -> dict[
             labels = np.where((y > 0) | (scores >= threshold), 1, -1)
         return pd.DataFrame({"view": [view], "weights": [model.weights.astype(np.float32).tobytes()], "bias": [model.bias], "threshold": [threshold]})
 
-    fitted = drawn.select("*", views).groupBy("view").applyInPandas(fit, "view string, weights binary, bias double, threshold double").collect()
+    made = drawn.select("repo", "path", "text", "reason").mapInPandas(views, "view string, at string, apart boolean, told boolean, buckets binary")
+    fitted = made.groupBy("view").applyInPandas(fit, "view string, weights binary, bias double, threshold double").collect()
     return {r.view: Linear(np.frombuffer(r.weights, np.float32), r.bias, r.threshold) for r in fitted}
 
 
