@@ -102,6 +102,10 @@ def _f_string(text: str, i: int, quote: str, raw: bool) -> int:
     return -1
 
 
+_INDENT = re.compile(r"[ \t\f]*")
+_OCTAL, _AFTER, _JOINS = re.compile(r"0[0-9_]*[1-9]"), re.compile(r"[^\W\d]\w*"), re.compile(r"(?:and|else|for|if|in|is|not|or)\b")
+
+
 def python_lines(text: str) -> tuple[list[tuple[str, ...]], list[int]]:
     """Logical lines with NEWLINE, INDENT and DEDENT."""
     text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
@@ -115,7 +119,7 @@ def python_lines(text: str) -> tuple[list[tuple[str, ...]], list[int]]:
     began = 1
     while True:
         if fresh and not open_:
-            m = re.compile(r"[ \t\f]*").match(text, i)
+            m = _INDENT.match(text, i)
             head = m[0].rpartition("\f")[2]
             i = m.end()
             if i >= n or text[i] in "#\n":
@@ -170,11 +174,11 @@ def python_lines(text: str) -> tuple[list[tuple[str, ...]], list[int]]:
                     break
             line.append("AUGASSIGN" if word in _AUG else word)
         elif group == "number":
-            if re.match(r"0[0-9_]*[1-9]", word) and word.replace("_", "").isdigit():
+            if word[0] == "0" and _OCTAL.match(word) and word.replace("_", "").isdigit():
                 line.append("ERROR")
                 break
-            after = re.compile(r"[^\W\d]\w*").match(text, i)
-            if after and not re.match(r"(and|else|for|if|in|is|not|or)\b", after[0]):
+            after = _AFTER.match(text, i) if i < n and (text[i] == "_" or text[i].isalpha()) else None
+            if after and not _JOINS.match(after[0]):
                 line.append("ERROR")
                 break
             line.append("NUMBER")
@@ -432,7 +436,11 @@ class _Script:
         brackets: list[tuple[str, bool]] = []  # and whether an operand is complete behind the closing one
         whole = False
         while not self.failed:
-            i = self.space(i)
+            if text[i : i + 1] == " ":
+                i += 1
+            c = text[i : i + 1]
+            if not "!" <= c <= "~" or c == "/":  # most tokens follow one blank or none
+                i = self.space(i)
             if i >= n or self.failed:
                 if depth or brackets:
                     return self.fail()
@@ -460,7 +468,7 @@ class _Script:
                 whole = kind in _WHOLE
             elif group == "number":
                 after = text[i : i + 1]
-                if after and (after == "_" or after == "$" or after.isalnum()) or re.match(r"0[0-9]", word):
+                if after and (after == "_" or after == "$" or after.isalnum()) or (word[0] == "0" and word[1:2].isdigit()):
                     return self.fail()
                 self.emit("NUMBER")
                 whole = True
