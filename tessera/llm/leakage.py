@@ -148,7 +148,8 @@ def holds(ids: np.ndarray, words: np.ndarray, own: np.ndarray, span: int, budget
     """Whether a stretch of a document, as word numbers, holds a passage of the item ``words``."""
     piece = span // (budget + 1)
     runs, mine = run_hashes(ids, piece), run_hashes(words, piece)
-    order = np.argsort(mine, kind="stable")
+    whole = np.flatnonzero(np.convolve(own, np.ones(piece, int), "valid") == piece)  # pieces of the item's own wording
+    order = whole[np.argsort(mine[whole], kind="stable")]
     left, right = np.searchsorted(mine[order], runs), np.searchsorted(mine[order], runs, side="right")
     known = np.isin(ids, words)
     near_known = np.concatenate([[0], np.cumsum(known)])
