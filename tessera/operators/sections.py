@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_markdown, stripped
+from tessera.functions.text import clean_markdown
 
 #: Headings that an excerpt prefers, and those it leaves out; what is cut is marked.
 PRIORITY = r"(?i)about|overview|introduc|what is|why|feature|how it works|architect|install|quick ?start|getting started|usage|use|demo|example|run"

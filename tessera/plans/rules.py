@@ -11,7 +11,7 @@ from tessera.operators import rules as R
 from tessera.operators import scanning as S
 from tessera.operators import screening as J
 from tessera.plans.core import query
-from tessera.plans.reference import _ANSWERS, _FINDINGS, _KEY, _LATEST, findings, latest
+from tessera.plans.reference import _ANSWERS, _FINDINGS, _KEY, findings, latest
 from tessera.sources.tables import table
 
 #: A rule that names no framework, beside those of the registry.
