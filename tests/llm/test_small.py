@@ -320,6 +320,25 @@ def test_state_goes_on_in_another_session(spark, tmp_path):
     assert sorted(map(tuple, repeated_rows(other.assigned(repos)).collect())) == brute_pairs(rows)
 
 
+def test_waiting_batches_are_one_step(spark, tmp_path):
+    rows = many_rows(120, 12, seed=7)
+    table = spark.createDataFrame([(*r, "n", "k") for r in rows], REPOS)
+    spark.sparkContext.setJobGroup("linkage-jobs", "jobs of all batches")
+    try:
+        got = sorted(map(tuple, linked_batches(table).collect()))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("linkage-jobs")) < 120  # each of 12 steps would take dozens
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    repos = plain_rows(table, "h")
+    linker = Linker(spark, f"file://{tmp_path}/state", "h")
+    linker.add(9, repos.where("batch_no < 10"), range(10))
+    linker.add(11, repos.where("batch_no > 8"), (9, 10))  # batch 9 was taken in before
+    other = Linker.open(spark, f"file://{tmp_path}/state")
+    assert linker.done == other.done == list(range(12))
+    assert got == sorted(map(tuple, repeated_rows(other.assigned(repos)).collect())) == brute_pairs(rows)
+
+
 def test_ranges_that_do_not_decide_are_looked_at(spark):
     far = [(0, "a", 10.0, 30.0), (1, "b", 10.24, 30.24), (2, "c", 10.7, 30.0 + 0.5)]  # no address of the cell is near in both
     near = [(0, "a", 10.0, 30.0), (1, "b", 10.24, 30.24), (2, "c", 10.7, 30.7)]
