@@ -339,6 +339,20 @@ def test_waiting_batches_are_one_step(spark, tmp_path):
     assert got == sorted(map(tuple, repeated_rows(other.assigned(repos)).collect())) == brute_pairs(rows)
 
 
+def test_stored_keys_are_a_cells_spellings(spark, tmp_path):
+    shares = [(11.8, 88.2), (12.2, 87.8), (12.9, 87.1)]  # the first two are in other classes; the last is near neither
+    rows = [(i, b, f"o{i}/{name}", f"https://h/o{i}/{name}", [("Go", x), ("C", y)]) for i, (b, name, (x, y)) in enumerate(zip((0, 0, 0, 1, 1), ("kit-moreba", "kit-morebax", "kit-moreba", "kit-morebax", "kitmorxba"), (*shares, *shares[1::-1])))]
+    repos = plain_rows(spark.createDataFrame([(*r, "n", "k") for r in rows], REPOS), "h")
+    linker = Linker(spark, f"file://{tmp_path}/state", "h")
+    for b in (0, 1):
+        linker.add(b, repos.where(f"batch_no = {b}"))
+    spelled = lambda w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+    ends = {0: {"kit", "moreba"}, 1: {"kit", "morebax"}, 2: {"kit", "moreba"}, 3: {"kit", "morebax"}, 4: set()}
+    want = {i: len(spelled(r[2].split("/")[1].replace("-", "")) | ends[i]) for i, r in enumerate(rows)}
+    assert {r.cell: r["count"] for r in linker.history("keys").groupBy("cell").count().collect()} == want
+    assert sorted(map(tuple, repeated_rows(linker.assigned(repos)).collect())) == brute_pairs(rows) == [(0, 1), (0, 3), (0, 4)]
+
+
 def test_ranges_that_do_not_decide_are_looked_at(spark):
     far = [(0, "a", 10.0, 30.0), (1, "b", 10.24, 30.24), (2, "c", 10.7, 30.0 + 0.5)]  # no address of the cell is near in both
     near = [(0, "a", 10.0, 30.0), (1, "b", 10.24, 30.24), (2, "c", 10.7, 30.7)]
